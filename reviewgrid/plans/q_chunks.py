@@ -132,8 +132,6 @@ def chk_whole_file(spark, sf_dir):
     return chunkers.boundary_chunks(src).filter(F.col("method") == "whole_file")
 
 
-TOP_OUT = (CHUNK_OUT + ", case when regexp_extract(head, '^(?:async\\s+)?(?:def|class)\\s+(\\w+)', 1) = '' "
-           "then 'unknown' else regexp_extract(head, '^(?:async\\s+)?(?:def|class)\\s+(\\w+)', 1) end as name")
 
 
 @query("chk_toplevel", "C6", oracle=_w(D.LINES, D.SECTIONS_A, D.TOPLEVEL) +
@@ -164,10 +162,12 @@ def chk_nested_blocks(spark, sf_dir):
     return chunkers.nested_blocks(src, K + ["file_ord", "file_path"])
 
 
-DISPATCH_SQL = _w(D.LINES, D.SECTIONS_A, D.BOUNDARY, D.TOPLEVEL) + f"""
+DISPATCH_CTES = _w(D.LINES, D.SECTIONS_A, D.BOUNDARY, D.TOPLEVEL)
+DISPATCH_BODY = f"""
 select {CHUNK_OUT} from topcc where ends_with(file_path, '.py')
 union all select {CHUNK_OUT} from bcc where not ends_with(file_path, '.py')
 union all select {CHUNK_OUT} from whole where not ends_with(file_path, '.py')"""
+DISPATCH_SQL = DISPATCH_CTES + DISPATCH_BODY
 
 
 def dispatched(spark, sf_dir):

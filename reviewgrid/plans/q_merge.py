@@ -57,14 +57,16 @@ def mrg_prioritise(spark, sf_dir):
         *OUT, "seq", "rank", "first_seq", "position")
 
 
-REVIEW_SQL = duck_with("v_findings") + f"""
+M4_CTES = duck_with("v_findings") + f"""
 , a as (select *, {AGENT_SQL} as agent, cast(seq % 3 as int) as agent_ord, {RANK_SQL} as rank from v_findings),
 k as (select *, row_number() over (partition by repo, pr_number, file_path, line_number, category order by rank, agent_ord, seq) as rn,
   first_value(agent_ord) over (partition by repo, pr_number, file_path, line_number, category order by agent_ord, seq) as f_agent,
   first_value(seq) over (partition by repo, pr_number, file_path, line_number, category order by agent_ord, seq) as f_seq from a),
-s as (select * from k where rn = 1)
-select {", ".join(OUT)}, agent, rank,
- cast(row_number() over (partition by repo, pr_number order by rank, f_agent, f_seq) as int) as position from s"""
+s as (select * from k where rn = 1),
+m4 as (select {", ".join(OUT)}, agent, rank,
+ cast(row_number() over (partition by repo, pr_number order by rank, f_agent, f_seq) as int) as position from s)
+"""
+REVIEW_SQL = M4_CTES + "select * from m4"
 
 
 def merged_findings(spark, sf_dir, hot_rows=None):
