@@ -58,8 +58,8 @@ def boundary_chunks(sources: DataFrame, keys: list[str] = DIFF_KEY) -> DataFrame
     b = F.expr("filter(transform(src_lines, (l, i) -> "
                "if(startswith(l, 'def ') or startswith(l, 'class '), i, -1)), i -> i >= 0)")
     out = sources.withColumn("_b", b).select(
-        *keys, "file_ord", "file_path", F.explode(F.expr(_BOUNDARY_CHUNKS)).alias("c"))
-    return out.select(*keys, "file_ord", "file_path", "c.*")
+        *keys, "file_ord", "file_path", F.explode_outer(F.expr(_BOUNDARY_CHUNKS)).alias("c"))
+    return out.filter(F.col("c").isNotNull()).select(*keys, "file_ord", "file_path", "c.*")
 
 
 # Positions in the significant-line array _n (1-based) of column-0 lines
@@ -91,8 +91,8 @@ def toplevel_chunks(sources: DataFrame, keys: list[str] = DIFF_KEY) -> DataFrame
                f"not ({_sub(_INDENTED, 'x.l')} or {_sub(_CLOSER, 'x.l')}), p + 1, -1)), p -> p > 0)")
     df = sources.withColumn("_n", n).withColumn("_t", t)
     out = df.select(*keys, "file_ord", "file_path", "source", "src_lines",
-                    F.explode(F.expr(_TOP_CHUNKS)).alias("c"))
-    out = out.select(
+                    F.explode_outer(F.expr(_TOP_CHUNKS)).alias("c"))
+    out = out.filter(F.col("c").isNotNull()).select(
         *keys, "file_ord", "file_path", F.col("c.chunk_ord").alias("chunk_ord"),
         F.expr("array_join(slice(src_lines, c.start + 1, c.end - c.start + 1), '\n')").alias("content"),
         (F.col("c.start") + 1).alias("start_line"), (F.col("c.end") + 1).alias("end_line"),
@@ -140,8 +140,8 @@ def named_blocks(code: DataFrame, keys: list[str], code_col: str = "changed_code
     df = code.withColumn("_l", split_lines(code_col))
     df = df.withColumn("_m", F.expr(
         f"filter(transform(_l, (l, i) -> if(l rlike {_FUNC} or l rlike {_CLASS}, i, -1)), i -> i >= 0)"))
-    out = df.select(*keys, F.explode(F.expr(_NAMED_BLOCKS)).alias("c"))
-    return out.select(*keys, "c.*")
+    out = df.select(*keys, F.explode_outer(F.expr(_NAMED_BLOCKS)).alias("c"))
+    return out.filter(F.col("c").isNotNull()).select(*keys, "c.*")
 
 
 # For each indent level d that has an opener, the significant lines at
@@ -149,7 +149,7 @@ def named_blocks(code: DataFrame, keys: list[str], code_col: str = "changed_code
 # opener's block ends at the significant line before the next terminator.
 # Cost is linear per distinct opener level.
 _NESTED = """
-array_sort(flatten(transform(
+sort_array(flatten(transform(
   array_distinct(transform(filter(_n, x -> x.l rlike '^[ \\\\t\\\\f]*(async\\\\s+def|def|class)\\\\s'), x -> x.ind)),
   d -> element_at(transform(
     array(filter(transform(_n, (x, p) -> if(x.ind <= d and not (x.l rlike '^[ \\\\t\\\\f]*[)\\\\]}]'), p + 1, -1)), p -> p > 0)),
@@ -169,8 +169,8 @@ def nested_blocks(sources: DataFrame, keys: list[str], lines_col: str = "src_lin
     n = F.expr(f"filter(transform({lines_col}, (l, i) -> named_struct('i', i, 'l', l, "
                f"'ind', length(regexp_extract(l, '^[ \\\\t\\\\f]*', 0)))), x -> {_sub(_SIGNIFICANT, 'x.l')})")
     df = sources.withColumn("_n", n)
-    out = df.select(*keys, lines_col, F.posexplode(F.expr(_NESTED)).alias("chunk_ord", "c"))
-    return out.select(
+    out = df.select(*keys, lines_col, F.posexplode_outer(F.expr(_NESTED)).alias("chunk_ord", "c"))
+    return out.filter(F.col("c").isNotNull()).select(
         *keys, "chunk_ord",
         F.when(F.ltrim(F.col("c.head")).startswith("class"), F.lit("class")).otherwise(F.lit("function"))
         .alias("chunk_type"),

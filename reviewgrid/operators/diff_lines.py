@@ -2,6 +2,12 @@
 
 All of it is per row: a diff is one value, and ``split`` + ``posexplode``
 turn it into lines inside the task that read it, so nothing is shuffled.
+
+Generators are always the ``_outer`` form followed by an explicit null
+filter: for a plain ``explode`` the optimizer infers ``size(array) > 0`` and
+pushes it below the projections, inlining the whole array expression —
+lambdas included — into the scan filter, which recomputes it and can turn
+linear per-row work quadratic.
 """
 
 from __future__ import annotations
@@ -57,7 +63,8 @@ def line_kind(line: str = "line") -> Column:
 
 def diff_lines(diffs: DataFrame, keys: list[str] = DIFF_KEY) -> DataFrame:
     """One row per diff line with its 0-based position."""
-    return diffs.select(*keys, F.posexplode(split_lines("diff")).alias("pos", "line"))
+    out = diffs.select(*keys, F.posexplode_outer(split_lines("diff")).alias("pos", "line"))
+    return out.filter(F.col("pos").isNotNull())
 
 
 def classified_lines(diffs: DataFrame, keys: list[str] = DIFF_KEY) -> DataFrame:

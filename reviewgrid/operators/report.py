@@ -66,11 +66,11 @@ def summary_markdown(ranked: DataFrame, scope: list[str] = SCOPE,
     items = (with_badge(ranked).withColumn("_item", summary_item())
              .withColumn("_block", ((F.col("position") - 1) / F.lit(block_rows)).cast("int")))
     blocks = items.groupBy(*scope, "_block").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "_item"))),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "_item"))),
                                  lambda x: x["_item"]), "\n").alias("_text"),
         F.count(F.lit(1)).alias("_n"))
     per_pr = blocks.groupBy(*scope).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "_text"))),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_block", "_text"))),
                                  lambda x: x["_text"]), "\n").alias("_items"),
         F.sum("_n").cast("bigint").alias("n_findings"))
     header = F.concat(F.lit(SUMMARY_TITLE + "\n" + SUMMARY_SUBTITLE + "\n**"),

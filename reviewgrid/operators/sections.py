@@ -33,7 +33,8 @@ def sections_a(diffs: DataFrame, keys: list[str] = DIFF_KEY) -> DataFrame:
     lined = lined.withColumn("_hdr", F.expr(
         "filter(transform(_lines, (l, i) -> if(startswith(l, '+++ b/'), i, -1)), i -> i >= 0)"))
     secs = lined.select(*keys, F.expr(_SECTIONS_A).alias("_s"))
-    out = secs.select(*keys, F.explode("_s").alias("s")).select(*keys, "s.*")
+    out = secs.select(*keys, F.explode_outer("_s").alias("s")).filter(F.col("s").isNotNull())
+    out = out.select(*keys, "s.*")
     return out.withColumn("added", F.expr(
         "transform(filter(body, l -> startswith(l, '+') and not startswith(l, '+++')), l -> substring(l, 2))"))
 
@@ -53,8 +54,8 @@ def added_source(sections: DataFrame, keys: list[str] = DIFF_KEY) -> DataFrame:
 def chunk_lines(sources: DataFrame, keys: list[str] = DIFF_KEY) -> DataFrame:
     """V_chunk_lines: 1-based line numbers of each section's added source."""
     return sources.select(*keys, "file_ord", "file_path",
-                          F.posexplode("src_lines").alias("line_no", "line")) \
-        .withColumn("line_no", (F.col("line_no") + 1).cast("int"))
+                          F.posexplode_outer("src_lines").alias("line_no", "line")) \
+        .filter(F.col("line_no").isNotNull()).withColumn("line_no", (F.col("line_no") + 1).cast("int"))
 
 
 # Variant B: sections start at "diff --git" lines; a header with fewer than
@@ -102,7 +103,8 @@ def sections_b(diffs: DataFrame, keys: list[str] = DIFF_KEY) -> DataFrame:
          transform(array_distinct(_paths), (p, k) -> named_struct(
            'file_ord', k, 'file_path', p,
            'body', element_at(_s, cast(size(_paths) + 1 - array_position(reverse(_paths), p) as int)).body)))"""))
-    out = secs.select(*keys, F.explode("_s").alias("s")).select(*keys, "s.*")
+    out = secs.select(*keys, F.explode_outer("_s").alias("s")).filter(F.col("s").isNotNull())
+    out = out.select(*keys, "s.*")
     return out.withColumn("text", F.array_join("body", "\n"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chunkers, diff_lines as dl, sections
+from ..operators.parallel import spread
 from ..sources.fixtures import duck_with, view
 from ..sources.tables import table
 from . import duck_chunks as D
@@ -18,7 +19,7 @@ def _w(*ctes: str) -> str:
 
 
 def diffs(spark, sf_dir):
-    return view(spark, sf_dir, "v_diffs")
+    return spread(view(spark, sf_dir, "v_diffs"), K)
 
 
 def sources_a(spark, sf_dir):
