@@ -109,13 +109,44 @@ def toplevel_chunks(sources: DataFrame, keys: list[str] = DIFF_KEY) -> DataFrame
 
 CHUNK_COLS = ["file_ord", "chunk_ord", "file_path", "content", "start_line", "end_line", "method"]
 
+# Extents (1-based start/end lines) of C6 and C4/C5 chunks, chosen per row.
+_TOP_EXTENTS = """transform(
+  filter(transform(_t, (p, m) -> named_struct('p', p, 'm', m)),
+         x -> element_at(_n, x.p).l rlike '^(async\\\\s+def|def|class)\\\\s'
+              and (x.p = 1 or not startswith(element_at(_n, x.p - 1).l, '@'))),
+  (x, k) -> named_struct('chunk_ord', k, 'start_line', element_at(_n, x.p).i + 1,
+    'end_line', element_at(_n, coalesce(try_element_at(_t, x.m + 2), size(_n) + 1) - 1).i + 1,
+    'method', 'ast'))"""
+_BOUNDARY_EXTENTS = """if(size(_b) = 0,
+   array(named_struct('chunk_ord', 0, 'start_line', 1, 'end_line', size(src_lines), 'method', 'whole_file')),
+   transform(_b, (s, k) -> named_struct('chunk_ord', k, 'start_line', s + 1,
+     'end_line', coalesce(try_element_at(_b, k + 2) - 1, size(src_lines)), 'method', 'boundary')))"""
+
 
 def dispatch_chunks(sources: DataFrame, keys: list[str] = DIFF_KEY) -> DataFrame:
-    """``.py`` sections -> top-level chunks (C6), others -> C4/C5; one union."""
+    """``.py`` sections -> top-level chunks (C6), others -> C4/C5.
+
+    One pass: each section row picks its chunker with ``if`` and a single
+    generator emits the chunks, so the sections are read once.
+    """
     is_py = F.col("file_path").endswith(".py")
-    py = toplevel_chunks(sources.filter(is_py), keys).select(*keys, *CHUNK_COLS)
-    other = boundary_chunks(sources.filter(~is_py), keys).select(*keys, *CHUNK_COLS)
-    return py.unionByName(other)
+    empty_n = "filter(array(named_struct('i', 0, 'l', '')), x -> false)"
+    n = F.when(is_py, F.expr(f"filter(transform(src_lines, (l, i) -> named_struct('i', i, 'l', l)), "
+                             f"x -> {_sub(_SIGNIFICANT, 'x.l')})")).otherwise(F.expr(empty_n))
+    t = F.expr("filter(transform(_n, (x, p) -> if("
+               f"not ({_sub(_INDENTED, 'x.l')} or {_sub(_CLOSER, 'x.l')}), p + 1, -1)), p -> p > 0)")
+    b = F.when(~is_py, F.expr("filter(transform(src_lines, (l, i) -> "
+                              "if(startswith(l, 'def ') or startswith(l, 'class '), i, -1)), i -> i >= 0)")) \
+        .otherwise(F.array().cast("array<int>"))
+    df = sources.withColumn("_n", n).withColumn("_t", t).withColumn("_b", b)
+    ext = F.when(is_py, F.expr(_TOP_EXTENTS)).otherwise(F.expr(_BOUNDARY_EXTENTS))
+    out = df.select(*keys, "file_ord", "file_path", "source", "src_lines", F.explode_outer(ext).alias("c"))
+    out = out.filter(F.col("c").isNotNull())
+    content = F.when(F.col("c.method") == "whole_file", F.col("source")).otherwise(F.expr(
+        "array_join(slice(src_lines, c.start_line, greatest(c.end_line - c.start_line + 1, 0)), '\\n')"))
+    return out.select(*keys, "file_ord", F.col("c.chunk_ord").alias("chunk_ord"), "file_path",
+                      content.alias("content"), F.col("c.start_line").alias("start_line"),
+                      F.col("c.end_line").alias("end_line"), F.col("c.method").alias("method"))
 
 
 # The standalone regex chunker. Blocks run from a match to the line

@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 DEFAULT_HOT_ROWS = 2_000_000
 
 
@@ -32,11 +34,18 @@ def _hot_rows(df: DataFrame, hot_rows: int | None) -> int:
 
 def position_within(df: DataFrame, group: list[str], order: list[Column | str],
                     name: str = "position", hot_rows: int | None = None,
-                    range_partitions: int | None = None) -> DataFrame:
+                    range_partitions: int | None = None, materialize: bool = True) -> DataFrame:
     """Add ``name`` = 1-based position of each row inside its group by ``order``.
 
     ``order`` must be a total order inside a group (ties broken by the caller).
+    The input feeds several branches (group sizes, ordinary and hot groups),
+    so by default it is first written once with ``checkpoint()`` to the
+    session's shared checkpoint folder: the upstream plan runs once, and the
+    lineage is cut so a lost executor does not recompute it.
     """
+    if materialize:
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     limit = _hot_rows(df, hot_rows)
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_grp_rows"))

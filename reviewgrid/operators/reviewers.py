@@ -60,16 +60,21 @@ DEF_OPENER = r"^[ \t\f]*(async\s+)?def\s"
 FINDING_FIELDS = ["rule_id", "agent", "severity", "category", "description"]
 
 
-def _hit(rule) -> Column:
+def _hit(rule, line: Column) -> Column:
     rid, agent, sev, pattern, desc = rule
-    return F.when(F.col("line").rlike(pattern), F.struct(
+    return F.when(line.rlike(pattern), F.struct(
         F.lit(rid).alias("rule_id"), F.lit(agent).alias("agent"), F.lit(sev).alias("severity"),
         F.lit(agent).alias("category"), F.lit(desc).alias("description")))
 
 
+def line_hits_expr(line: Column, rules=LINE_RULES) -> Column:
+    """Array of the rule hits of one line (a column or a lambda variable)."""
+    return F.filter(F.array(*[_hit(r, line) for r in rules]), lambda x: x.isNotNull())
+
+
 def line_rule_hits(lines: DataFrame, rules=LINE_RULES) -> DataFrame:
     """A5: one row per (line, matching rule); ``lines`` needs a ``line`` column."""
-    hits = F.filter(F.array(*[_hit(r) for r in rules]), lambda x: x.isNotNull())
+    hits = line_hits_expr(F.col("line"), rules)
     out = lines.withColumn("_h", F.explode_outer(hits)).filter(F.col("_h").isNotNull())
     return out.select(*[c for c in lines.columns], *[F.col(f"_h.{f}").alias(f) for f in FINDING_FIELDS])
 
@@ -97,14 +102,11 @@ def _extents(opener: str) -> str:
     return _EXTENTS.replace("OPENER", opener.replace("\\", "\\\\"))
 
 
-def block_rule_hits(sections: DataFrame, keys: list[str], lines_col: str = "src_lines") -> DataFrame:
-    """Loop and function rules over each section's line array.
-
-    Returns ``keys + [line_no (1-based), rule_id, agent, severity, category, description]``.
-    """
+def with_block_hits(df: DataFrame, lines_col: str, out_col: str) -> DataFrame:
+    """Add ``out_col``: array of (line 0-based, rule tag) block-rule hits of each row's lines."""
     n = F.expr(f"filter(transform({lines_col}, (l, i) -> named_struct('i', i, 'l', l, "
                f"'ind', length(regexp_extract(l, '^[ \\\\t\\\\f]*', 0)))), {_SIG})")
-    df = sections.select(*keys, lines_col).withColumn("_n", n)
+    df = df.withColumn("_n", n)
     df = df.withColumn("_loops", F.expr(_extents(LOOP_OPENER)))
     df = df.withColumn("_defs", F.expr(_extents(DEF_OPENER)))
     # Loop depth: merge start and end events sorted by (position, start before end);
@@ -136,20 +138,33 @@ def block_rule_hits(sections: DataFrame, keys: list[str], lines_col: str = "src_
         if(x.end - x.start + 1 > {LONG_FUNCTION_LINES}, named_struct('line', x.start, 'rule', 'R17'), null),
         if(not startswith({name}, '_') and not {doc}, named_struct('line', x.start, 'rule', 'R18'), null)))""")
     hits = F.filter(F.flatten(F.concat(loop_hits, def_hits)), lambda h: h.isNotNull())
-    out = df.select(*keys, F.explode_outer(hits).alias("_h")).filter(F.col("_h").isNotNull())
+    return df.withColumn(out_col, hits).drop("_n", "_loops", "_defs", "_ev", "_sq")
+
+
+def block_rule_meta(rule: Column) -> list[Column]:
+    """rule_id, agent, severity, category, description of a block hit's rule tag."""
     rules = {rid: (agent, sev, desc) for rid, agent, sev, desc in BLOCK_RULES}
     sev = F.lit(None).cast("string")
     agent = F.lit(None).cast("string")
     desc = F.lit(None).cast("string")
-    rule_col = F.when(F.col("_h.rule") == "R10deep", F.lit("R10")).otherwise(F.col("_h.rule"))
+    rule_col = F.when(rule == "R10deep", F.lit("R10")).otherwise(rule)
     for rid, (a, s, d) in rules.items():
         agent = F.when(rule_col == rid, F.lit(a)).otherwise(agent)
         sev = F.when(rule_col == rid, F.lit(s)).otherwise(sev)
         desc = F.when(rule_col == rid, F.lit(d)).otherwise(desc)
-    sev = F.when(F.col("_h.rule") == "R10deep", F.lit(DEEP_LOOP_SEVERITY)).otherwise(sev)
-    return out.select(*keys, (F.col("_h.line") + 1).cast("int").alias("line_no"), rule_col.alias("rule_id"),
-                      agent.alias("agent"), sev.alias("severity"), agent.alias("category"),
-                      desc.alias("description"))
+    sev = F.when(rule == "R10deep", F.lit(DEEP_LOOP_SEVERITY)).otherwise(sev)
+    return [rule_col.alias("rule_id"), agent.alias("agent"), sev.alias("severity"), agent.alias("category"),
+            desc.alias("description")]
+
+
+def block_rule_hits(sections: DataFrame, keys: list[str], lines_col: str = "src_lines") -> DataFrame:
+    """Loop and function rules over each section's line array.
+
+    Returns ``keys + [line_no (1-based), rule_id, agent, severity, category, description]``.
+    """
+    df = with_block_hits(sections.select(*keys, lines_col), lines_col, "_bh")
+    out = df.select(*keys, F.explode_outer("_bh").alias("_h")).filter(F.col("_h").isNotNull())
+    return out.select(*keys, (F.col("_h.line") + 1).cast("int").alias("line_no"), *block_rule_meta(F.col("_h.rule")))
 
 
 def fanout(chunks: DataFrame) -> DataFrame:

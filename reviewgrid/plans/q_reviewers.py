@@ -219,3 +219,11 @@ def rev_counts(spark, sf_dir):
     return per_agent.unionByName(total)
 
 
+
+
+@query("rev_review", "3.2")
+def rev_review(spark, sf_dir):
+    """The whole review of every diff with the rule-table reviewers (rows check)."""
+    from ..plans.review import review
+    from .q_chunks import diffs
+    return review(diffs(spark, sf_dir))
