@@ -245,6 +245,7 @@ def parse_responses(responses: DataFrame, text: str = "response") -> DataFrame:
               .when(is_empty_value, F.lit("none"))
               .when(F.col("_a").isNull(), F.lit("error"))
               .when(bad_item, F.lit("error"))
+              .when(F.size("_a") == 0, F.lit("none"))
               .otherwise(F.lit("rows")))
     return df.withColumn("status", status).withColumn(
         "items", F.when(F.col("status") == "rows", F.col("_a"))).drop("_v", "_r", "_a")
