@@ -56,10 +56,10 @@ def dedup(findings: DataFrame, scope: list[str] = SCOPE, order_col: str = "seq")
 
 
 def prioritise(survivors: DataFrame, scope: list[str] = SCOPE,
-               hot_rows: int | None = None) -> DataFrame:
+               hot_rows: int | None = None, materialize: bool = True) -> DataFrame:
     """M3: ``position`` inside the PR by (severity rank, first seq of the key)."""
     return position_within(survivors, scope, [F.col("rank"), F.col("first_seq")],
-                           name="position", hot_rows=hot_rows)
+                           name="position", hot_rows=hot_rows, materialize=materialize)
 
 
 def review_merge(per_agent: dict[str, DataFrame], item_cols: list[str],

@@ -41,7 +41,8 @@ def position_within(df: DataFrame, group: list[str], order: list[Column | str],
     The input feeds several branches (group sizes, ordinary and hot groups),
     so by default it is first written once with ``checkpoint()`` to the
     session's shared checkpoint folder: the upstream plan runs once, and the
-    lineage is cut so a lost executor does not recompute it.
+    lineage is cut so a lost executor does not recompute it. Pass
+    ``materialize=False`` when the upstream is a cheap scan.
     """
     if materialize:
         ensure_checkpoint_dir(df.sparkSession)
@@ -50,9 +51,13 @@ def position_within(df: DataFrame, group: list[str], order: list[Column | str],
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_grp_rows"))
     hot = sizes.filter(F.col("_grp_rows") > F.lit(limit)).select(*group)
+    w = Window.partitionBy(*group).orderBy(*order_cols)
+    if hot.limit(1).count() == 0:
+        # No hot group (a map-side combined count decides): the plain window
+        # is the whole plan, with no range sampling and no extra joins.
+        return df.withColumn(name, F.row_number().over(w))
 
     normal = df.join(hot, _null_safe_on(df, hot, group), "left_anti")
-    w = Window.partitionBy(*group).orderBy(*order_cols)
     numbered = normal.withColumn(name, F.row_number().over(w))
 
     heavy = df.join(hot, _null_safe_on(df, hot, group), "left_semi")

@@ -5,6 +5,10 @@ scan. A table stored as one parquet row group is one task, so when the
 input has fewer partitions than the session's parallelism we hash it by
 its key into that many; a large table already has more partitions and is
 left alone (no shuffle).
+
+Use it on plain table scans only: there the partition count comes from
+planning the file scan. On a frame that contains a shuffle, adaptive
+execution would run the upstream stages just to report the count.
 """
 
 from __future__ import annotations

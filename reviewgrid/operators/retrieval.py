@@ -28,7 +28,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import GUIDELINES, TOP_K_GUIDELINES
-from .parallel import spread
 
 TOKEN_REGEX = "\\w+"           # ASCII word characters, as RE2 and Java agree
 DEFAULT_BLOCK_ROWS = 4096
@@ -51,7 +50,7 @@ def with_hashed_tf(df: DataFrame, text_col: str, dims: int = 64, out: str = "emb
     Per row: token buckets are sorted and counted as runs (linear after the
     sort), then spread into a dense vector; no explode and no shuffle.
     """
-    tmp = spread(df, df.columns[:1]).withColumn("_b", F.sort_array(F.transform(
+    tmp = df.withColumn("_b", F.sort_array(F.transform(
         tokens(text_col), lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))))
     tmp = _run_counts(tmp, "_b", "_runs").withColumn("_m", F.map_from_entries("_runs"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
@@ -148,7 +147,7 @@ def topk_text(df: DataFrame, key: list[str], text_col: str, k: int = TOP_K_GUIDE
                  F.create_map(*[x for w, c in sorted(tf.items()) for x in (F.lit(w), F.lit(float(c)))])
                  .alias("w"))
         for g_ord, (tf, gnorm) in enumerate(weights)])
-    d = spread(df, key).select(*key, F.sort_array(tokens(text_col)).alias("_tok"))
+    d = df.select(*key, F.sort_array(tokens(text_col)).alias("_tok"))
     d = _run_counts(d, "_tok", "_runs").drop("_tok")
     d = d.withColumn("_dn", F.sqrt(F.aggregate(
         "_runs", F.lit(0).cast("bigint"), lambda acc, r: acc + r["n"].cast("bigint") * r["n"]).cast("double")))

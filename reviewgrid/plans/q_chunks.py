@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chunkers, diff_lines as dl, sections
-from ..operators.parallel import spread
 from ..sources.fixtures import duck_with, view
 from ..sources.tables import table
 from . import duck_chunks as D
@@ -19,7 +18,14 @@ def _w(*ctes: str) -> str:
 
 
 def diffs(spark, sf_dir):
-    return spread(view(spark, sf_dir, "v_diffs"), K)
+    """The V_diffs fixture, hashed by diff key over the session's parallelism.
+
+    The fixture is built by a small join that adaptive execution coalesces
+    into a few partitions; the per-row chunking after it needs the cores. A
+    real diffs table is read directly and keeps its scan partitioning.
+    """
+    n = spark.sparkContext.defaultParallelism
+    return view(spark, sf_dir, "v_diffs").repartition(n, *K)
 
 
 def sources_a(spark, sf_dir):

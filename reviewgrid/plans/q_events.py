@@ -66,7 +66,8 @@ select repo, pr_number, sha, cast(row_number() over (partition by repo, pr_numbe
 from v_commits""")
 def src_commits(spark, sf_dir):
     c = view(spark, sf_dir, "v_commits")
-    ranked = position_within(c, ["repo", "pr_number"], [F.col("committed_at"), F.col("sha")], name="commit_ord")
+    ranked = position_within(c, ["repo", "pr_number"], [F.col("committed_at"), F.col("sha")], name="commit_ord",
+                             materialize=False)
     return ranked.select("repo", "pr_number", "sha", "commit_ord")
 
 
