@@ -71,7 +71,7 @@ def _blocks_cte(name: str, opener: str) -> str:
            group by all)"""
 
 
-BLOCK_SQL = DISPATCH_CTES.rstrip() + rf""",
+BLOCK_PART = rf"""
 bsig as (select *, length(regexp_extract(line, '^[ \t\f]*', 0)) as ind from cl2 where {_SIG}),
 {_blocks_cte('loops', r'^[ \t\f]*(async\s+)?(for|while)\b')},
 {_blocks_cte('defs', r'^[ \t\f]*(async\s+)?def\s')},
@@ -112,6 +112,7 @@ select h.repo, h.pr_number, h.commit_sha, h.file_ord, cast(h.line_no as int) as
  case when h.rule_id = 'R10deep' then 'R10' else h.rule_id end as rule_id,
  m.agent, m.severity, m.agent as category, m.description
 from hits h join meta m on m.rule_id = h.rule_id"""
+BLOCK_SQL = DISPATCH_CTES.rstrip() + ",\n" + BLOCK_PART.strip()
 
 
 @query("rev_rules_block", "A6", oracle=BLOCK_SQL)
@@ -221,9 +222,44 @@ def rev_counts(spark, sf_dir):
 
 
 
-@query("rev_review", "3.2")
+def _review_sql() -> str:
+    """DuckDB: rules on every chunk's own lines, then the merge of M4."""
+    # Block rules reuse the section formulation with each chunk as a section:
+    # its id takes the place of file_ord.
+    block_sel = BLOCK_PART.strip()
+    block_ctes, block_final = block_sel[:block_sel.rindex("select h.repo")], block_sel[block_sel.rindex("select h.repo"):]
+    block_ctes = block_ctes.replace("from cl2", "from ckl").replace("join cl2", "join ckl").rstrip().rstrip(",")
+    return DISPATCH_CTES.rstrip() + ",\nch as (" + DISPATCH_BODY + "),\n" + _rules_cte() + """,
+ckl as (select repo, pr_number, commit_sha, file_ord * 100000 + chunk_ord as file_ord, file_path, start_line,
+          unnest(string_split(content, chr(10))) as line,
+          cast(unnest(range(1, len(string_split(content, chr(10))) + 1)) as int) as line_no from ch),
+""" + block_ctes + """,
+bh as (""" + block_final + """),
+lh as (select l.repo, l.pr_number, l.commit_sha, l.file_ord, l.line_no, r.rule_id, r.agent, r.severity,
+         r.agent as category, r.description from ckl l join rules r on regexp_matches(l.line, r.pattern)),
+hs as (select * from lh union all select * from bh),
+f as (select h.repo, h.pr_number, h.commit_sha, c.file_path, h.agent, h.severity, h.category, h.description,
+        cast(c.start_line + h.line_no - 1 as int) as line_number, c.file_ord as f_ord, c.chunk_ord as c_ord,
+        (h.line_no - 1) * 100 + cast(regexp_extract(h.rule_id, '[0-9]+', 0) as int) as item_ord,
+        case h.agent when 'security' then 0 when 'performance' then 1 else 2 end as agent_ord,
+        case h.severity when 'critical' then 0 when 'high' then 1 when 'medium' then 2 when 'low' then 3 else 3 end as rank
+      from hs h join ch c on c.repo = h.repo and c.pr_number = h.pr_number and c.commit_sha = h.commit_sha
+        and c.file_ord * 100000 + c.chunk_ord = h.file_ord),
+k as (select *,
+        row_number() over (partition by repo, pr_number, commit_sha, file_path, line_number, category
+                           order by rank, agent_ord, f_ord, c_ord, item_ord) as rn,
+        first_value(struct_pack(a := agent_ord, b := f_ord, c := c_ord, d := item_ord)) over (
+          partition by repo, pr_number, commit_sha, file_path, line_number, category
+          order by agent_ord, f_ord, c_ord, item_ord) as fs from f)
+select repo, pr_number, commit_sha,
+ cast(row_number() over (partition by repo, pr_number, commit_sha order by rank, fs.a, fs.b, fs.c, fs.d) as int) as position,
+ agent, severity, category, file_path, line_number, description, cast(null as varchar) as suggested_fix, rank
+from k where rn = 1"""
+
+
+@query("rev_review", "3.2", oracle=_review_sql())
 def rev_review(spark, sf_dir):
-    """The whole review of every diff with the rule-table reviewers (rows check)."""
+    """The whole review of every diff with the rule-table reviewers."""
     from ..plans.review import review
     from .q_chunks import diffs
     return review(diffs(spark, sf_dir))

@@ -48,7 +48,20 @@ def str_rereview(spark, sf_dir):
     return spark.read.parquet(f"{base}/sink/latest").select("repo", "pr_number", "delivery_id", "action", "commit_sha")
 
 
-@query("str_review", "T2")
+def _stream_review_sql() -> str:
+    from .q_reviewers import _review_sql
+    acc = ACCEPTED_SQL.strip()
+    assert acc.startswith("with ")
+    body = _review_sql()
+    assert body.startswith("with ")
+    body = body.replace("with ", "with " + acc[len("with "):].rstrip() + ",\n", 1)
+    body = body.replace("\nfrom k where rn = 1", "\nfrom k where rn = 1 and exists (select 1 from acc "
+                        "where acc.repo = k.repo and acc.pr_number = k.pr_number)")
+    head, rest = body.rsplit("select repo, pr_number, commit_sha,", 1)
+    return head + "select cast(0 as int) as batch_id, repo, pr_number, commit_sha," + rest
+
+
+@query("str_review", "T2", oracle=_stream_review_sql())
 def str_review(spark, sf_dir):
     base = work_path(spark, "stream_review")
     src = _event_files(spark, sf_dir, base)
