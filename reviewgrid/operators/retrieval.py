@@ -44,14 +44,19 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(TOKEN_REGEX), 0)
 
 
+def token_bucket(w: Column, dims: int) -> Column:
+    """Bucket of a token: the first 32 bits of its md5, modulo ``dims``
+    (a hash every SQL engine can reproduce)."""
+    return F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(dims)).cast("int")
+
+
 def with_hashed_tf(df: DataFrame, text_col: str, dims: int = 64, out: str = "embedding") -> DataFrame:
     """V1: L2-normalised hashed term frequencies (``array<double>`` of ``dims``).
 
     Per row: token buckets are sorted and counted as runs (linear after the
     sort), then spread into a dense vector; no explode and no shuffle.
     """
-    tmp = df.withColumn("_b", F.sort_array(F.transform(
-        tokens(text_col), lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))))
+    tmp = df.withColumn("_b", F.sort_array(F.transform(tokens(text_col), lambda w: token_bucket(w, dims))))
     tmp = _run_counts(tmp, "_b", "_runs").withColumn("_m", F.map_from_entries("_runs"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
                         lambda d: F.coalesce(F.try_element_at(F.col("_m"), d), F.lit(0)).cast("double"))

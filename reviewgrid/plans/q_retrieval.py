@@ -38,7 +38,14 @@ top as (select *, cast(row_number() over (partition by {key} order by score desc
 """
 
 
-@query("rag_embed", "V1")
+@query("rag_embed", "V1", oracle=r"""
+with t as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '\w+')) as tok from documents),
+b as (select doc_id, ('0x' || substr(md5(tok), 1, 8))::bigint % 64 as bucket, count(*) as c from t group by all),
+n as (select doc_id, sqrt(sum(c * c)) as norm from b group by doc_id),
+d as (select doc_id, g.i from documents cross join range(64) g(i))
+select d.doc_id, list(coalesce(b.c / n.norm, 0.0) order by d.i) as embedding
+from d left join b on b.doc_id = d.doc_id and b.bucket = d.i
+left join n on n.doc_id = d.doc_id group by d.doc_id""")
 def rag_embed(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     return retrieval.with_hashed_tf(docs, "text").select("doc_id", "embedding")
