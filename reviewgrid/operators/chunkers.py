@@ -217,3 +217,53 @@ def standalone_b(sections_b_df: DataFrame, keys: list[str] = DIFF_KEY) -> DataFr
     py = sections_b_df.filter(F.col("file_path").endswith(".py"))
     code = changed_code_b(py, keys).filter(~is_blank("changed_code"))
     return named_blocks(code, keys + ["file_ord", "file_path"])
+
+
+def _ast_extents(batches):
+    """Per section: top-level, undecorated def/class extents from Python's parser.
+
+    Emits one row per chunk, or one row with ``parsed = False`` when the
+    section does not parse (the caller falls back to the line rules).
+    """
+    import ast
+
+    import pandas as pd
+    cols = ["_sid", "parsed", "chunk_ord", "start_line", "end_line", "name", "chunk_type"]
+    for pdf in batches:
+        out = []
+        for sid, source in zip(pdf["_sid"], pdf["source"]):
+            try:
+                tree = ast.parse(source)
+            except (SyntaxError, ValueError):
+                out.append((sid, False, None, None, None, None, None))
+                continue
+            k = 0
+            for node in tree.body:
+                if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) \
+                        and not node.decorator_list:
+                    kind = "class" if isinstance(node, ast.ClassDef) else "function"
+                    out.append((sid, True, k, node.lineno, node.end_lineno, node.name, kind))
+                    k += 1
+        yield pd.DataFrame(out, columns=cols)
+
+
+def ast_toplevel_chunks(sources: DataFrame, keys: list[str] = DIFF_KEY) -> DataFrame:
+    """C6 with a real parser plugged in through ``mapInPandas``.
+
+    Same output columns as ``toplevel_chunks`` (without the chunk-log
+    columns). Only the section id and source cross into Python; the chunk
+    text is cut back in the JVM. Sections Python cannot parse use the line
+    rules.
+    """
+    ids = sources.withColumn("_sid", F.xxhash64(*keys, "file_ord"))
+    ext = ids.select("_sid", "source").mapInPandas(
+        _ast_extents, "_sid long, parsed boolean, chunk_ord int, start_line int, end_line int, "
+                      "name string, chunk_type string")
+    good = ext.filter("parsed").drop("parsed")
+    bad = ext.filter(~F.col("parsed")).select("_sid")
+    parsed = ids.join(good, "_sid").select(
+        *keys, "file_ord", "chunk_ord", "file_path",
+        F.expr("array_join(slice(src_lines, start_line, end_line - start_line + 1), '\\n')").alias("content"),
+        "start_line", "end_line", F.lit("ast").alias("method"))
+    fallback = toplevel_chunks(ids.join(bad, "_sid").drop("_sid"), keys).select(*keys, *CHUNK_COLS)
+    return parsed.unionByName(fallback)

@@ -91,3 +91,21 @@ def test_nested_blocks_extents(spark):
     got = [(r.chunk_type, r.name, r.start_line, r.end_line)
            for r in chunkers.nested_blocks(df, K + ["file_ord"]).orderBy("chunk_ord").collect()]
     assert got == [("class", "A", 1, 6), ("function", "m", 2, 4), ("function", "f", 7, 8)]
+
+
+def test_python_parser_hook_agrees_with_line_rules_on_valid_code(spark):
+    code = ["import os", "X = 1", "@dec", "def hidden():", "    pass", "", "def shown(a,", "          b):",
+            "    return a", "", "", "class K:", "    def m(self):", "        '''doc", "def not_top():", "'''",
+            "        pass", "async def run():", "    await x", "Y = 2"]
+    diff = "+++ b/p.py\n" + "".join("+" + c + "\n" for c in code) + "+++ b/bad.py\n+def broken(:\n+  pass\n"
+    src = sections.added_source(sections.sections_a(diff_frame(spark, [diff])))
+    rules = {(r.file_path, r.start_line, r.end_line, r.content)
+             for r in chunkers.toplevel_chunks(src).collect()}
+    ast_rows = {(r.file_path, r.start_line, r.end_line, r.content)
+                for r in chunkers.ast_toplevel_chunks(src).collect()}
+    # column-0 text inside a triple-quoted string is where line rules and a parser differ
+    assert ("p.py", 12, 17, "\n".join(code[11:17])) in ast_rows
+    assert ("p.py", 12, 14, "\n".join(code[11:14])) in rules
+    same = {r for r in ast_rows if r[1] != 12}
+    assert same == {r for r in rules if r[1] not in (12, 15)}
+    assert ("bad.py", 1, 2, "def broken(:\n  pass") in ast_rows      # does not parse: line-rule fallback
