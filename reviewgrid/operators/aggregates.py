@@ -14,8 +14,20 @@ from pyspark.sql import functions as F
 from ..constants import DASHBOARD_CATEGORIES, REDUCTION_TARGET_PCT, SEVERITIES
 
 
-def severity_category_counts(reviews: DataFrame) -> DataFrame:
-    """G1: COUNT(*) GROUP BY severity, category ORDER BY severity."""
+ERROR_ROW = " agent error: "
+
+
+def severity_category_counts(reviews: DataFrame, exclude_errors: bool = False) -> DataFrame:
+    """G1: COUNT(*) GROUP BY severity, category ORDER BY severity.
+
+    ``exclude_errors`` (off by default, parity) is the opt-in repair of
+    SURVEY note 14: reviewer-error rows (line 0, low, "<Name> agent error: ...")
+    are left out of the dashboard.
+    """
+    if exclude_errors:
+        is_error = (F.coalesce(F.col("line_number"), F.lit(-1)) == 0) & \
+            F.coalesce(F.col("description").contains(ERROR_ROW), F.lit(False))
+        reviews = reviews.filter(~is_error)
     return (reviews.groupBy("severity", "category")
             .agg(F.count(F.lit(1)).alias("count"))
             .orderBy(F.col("severity").asc_nulls_first(), F.col("category").asc_nulls_first()))

@@ -71,11 +71,36 @@ def scorer_findings(chunks: DataFrame, scorer: Callable[[str, str, str], str],
     return ok.unionByName(bad)
 
 
+MODULE_SCAN_ORD = 1 << 30   # module-level hits order after every chunk
+
+
+def module_secret_findings(sources: DataFrame) -> DataFrame:
+    """Opt-in repair of SURVEY note 5: the secret rule (R3) over every added
+    line, so module-level constants are reported too. Hits inside a chunk
+    duplicate a chunk finding's key and are merged by the dedup."""
+    r3 = [r for r in rv.LINE_RULES if r[0] == "R3"]
+    lines = sections.chunk_lines(sources)
+    hits = rv.line_rule_hits(lines, r3)
+    return hits.select(*SCOPE, "file_ord", F.lit(MODULE_SCAN_ORD).alias("chunk_ord"), "file_path",
+                       F.col("line_no").alias("line_number"), (F.col("line_no") * 100 + 3).alias("item_ord"),
+                       "rule_id", "agent", "severity", "category", "description",
+                       F.lit(None).cast("string").alias("suggested_fix"))
+
+
 def review(diffs: DataFrame, scorer: Callable[[str, str, str], str] | None = None,
-           hot_rows: int | None = None, concurrency: int | None = None) -> DataFrame:
-    """Diffs -> prioritised, deduplicated findings per PR revision (M4 order)."""
-    chunks = chunk_diffs(diffs)
+           hot_rows: int | None = None, concurrency: int | None = None,
+           secrets_outside_chunks: bool = False) -> DataFrame:
+    """Diffs -> prioritised, deduplicated findings per PR revision (M4 order).
+
+    ``secrets_outside_chunks`` (off by default, parity) also scans
+    module-level added lines for hard-coded secrets.
+    """
+    sources = sections.added_source(sections.sections_a(diffs))
+    chunks = chunkers.dispatch_chunks(sources)
     found = rule_findings(chunks) if scorer is None else scorer_findings(chunks, scorer, concurrency)
+    if secrets_outside_chunks:
+        extra = module_secret_findings(sources)
+        found = found.unionByName(extra.select(*found.columns))
     ordered = merge.order_findings(found, ["file_ord", "chunk_ord", "item_ord"])
     ranked = merge.prioritise(merge.dedup(ordered, SCOPE), SCOPE, hot_rows)
     return ranked.select(*OUT)

@@ -42,9 +42,19 @@ def init_reviews(spark: SparkSession, path: str) -> None:
     spark.createDataFrame([], REVIEWS_SCHEMA).write.mode("ignore").partitionBy("repo").parquet(path)
 
 
-def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """The stored findings, read with the fixed schema."""
-    return spark.read.schema(REVIEWS_SCHEMA).parquet(path)
+def read_reviews(spark: SparkSession, path: str, latest_run_only: bool = False) -> DataFrame:
+    """The stored findings, read with the fixed schema.
+
+    ``latest_run_only`` (off by default, parity) is the opt-in repair of
+    SURVEY note 17: a re-review appends a new run, and readers keep only the
+    latest run of each PR (an aggregation per PR, then a semi-join).
+    """
+    reviews = spark.read.schema(REVIEWS_SCHEMA).parquet(path)
+    if not latest_run_only:
+        return reviews
+    latest = reviews.groupBy("repo", "pr_number").agg(
+        F.max_by("run_id", F.struct("created_at", "run_id")).alias("run_id"))
+    return reviews.join(latest, ["repo", "pr_number", "run_id"], "left_semi")
 
 
 def conform_reviews(findings: DataFrame, created_at: dt.datetime, run_id: str,
