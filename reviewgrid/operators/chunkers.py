@@ -27,8 +27,6 @@ from .diff_lines import DIFF_KEY, is_blank, split_lines, word_count
 _SIGNIFICANT = "(l rlike '(?U)[^\\\\s\\\\x1c-\\\\x1f]' and not startswith(l, '#'))"
 _INDENTED = "(l rlike '^[ \\\\t\\\\f]')"
 _CLOSER = "(l rlike '^[ \\\\t\\\\f]*[)\\\\]}]')"
-_TOP_OPENER = "(l rlike '^(async\\\\s+def|def|class)\\\\s')"
-_ANY_OPENER = "(l rlike '^[ \\\\t\\\\f]*(async\\\\s+def|def|class)\\\\s')"
 _NAME = "regexp_extract({l}, '(?U)^[ \\\\t\\\\f]*(?:async\\\\s+)?(?:def|class)\\\\s+(\\\\w+)', 1)"
 
 

@@ -16,7 +16,6 @@ from ..functions.severity import severity_rank
 from .ordering import position_within
 
 DEDUP_KEY = ["file_path", "line_number", "category"]
-FINDING_COLS = ["file_path", "line_number", "severity", "category", "description", "suggested_fix"]
 SCOPE = ["repo", "pr_number"]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.signature import hmac_sha256_hex, signature_header, signature_ok
+from ..functions.signature import signature_header, signature_ok
 from ..operators.ordering import position_within
 from ..sources import events as ev
 from ..sources.fixtures import FIXTURE_SECRET, _IPAD, _OPAD, duck_with, view
@@ -70,5 +70,3 @@ def src_commits(spark, sf_dir):
                              materialize=False)
     return ranked.select("repo", "pr_number", "sha", "commit_ord")
 
-
-assert hmac_sha256_hex  # re-exported for users of the plan module

@@ -12,7 +12,6 @@ from ..operators import report
 from ..session import work_path
 from ..sinks import store
 from ..sources.fixtures import duck_with, view
-from . import duck_chunks as D
 from .catalog import query
 from .q_chunks import DISPATCH_BODY, DISPATCH_CTES, dispatched
 from .q_merge import M4_CTES, RANK_SQL, merged_findings
@@ -39,8 +38,6 @@ MARKDOWN_SQL = (f"{_lit(SUMMARY_TITLE)} || chr(10) || {_lit(SUMMARY_SUBTITLE)} |
                 f"|| ' issue(s) found**, sorted by severity.' || chr(10) || chr(10) || '---' || chr(10) || chr(10) "
                 f"|| string_agg({ITEM_SQL}, chr(10) order by position) || chr(10) || {_lit(SUMMARY_FOOTER)}")
 SHA_SQL = "substr(sha256(cast(pr_number as varchar)), 1, 40)"
-FINDING_COLS = ["repo", "pr_number", "seq", "severity", "category", "file_path", "line_number",
-                "description", "suggested_fix"]
 
 
 def _findings(spark, sf_dir):

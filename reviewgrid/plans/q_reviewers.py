@@ -21,7 +21,6 @@ def _lit(s: str) -> str:
 
 RULES_VALUES = ", ".join(
     f"({_lit(r)}, {_lit(a)}, {_lit(s)}, {_lit(p)}, {_lit(d)})" for r, a, s, p, d in rv.LINE_RULES)
-RULE_OUT = "rule_id, agent, severity, category, description"
 SK = "repo, pr_number, commit_sha, file_ord"
 
 
