@@ -90,7 +90,7 @@ def sections_b(diffs: DataFrame, keys: list[str] = DIFF_KEY) -> DataFrame:
     secs = secs.withColumn("_s", F.expr("""transform(_s, s -> named_struct(
         'sec_ord', s.sec_ord,
         'file_path', coalesce(s.raw_path,
-            element_at(filter(slice(_s, 1, s.sec_ord + 1), x -> x.raw_path is not null), -1).raw_path),
+            try_element_at(filter(slice(_s, 1, s.sec_ord + 1), x -> x.raw_path is not null), -1).raw_path),
         'body', s.body))"""))
     # Dict semantics without a shuffle: distinct paths in first-seen order,
     # each with the text of its last section. A diff without repeated paths
