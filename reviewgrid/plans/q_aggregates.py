@@ -48,7 +48,8 @@ REDUCTION_SQL = "round_even((1 - chunk_tokens / greatest(original_tokens, 1)) *
 
 
 @query("prj_reduction_pct", "P7", oracle=duck_with("v_chunks_metrics") + f"""
-select doc_id, original_tokens, chunk_tokens, {REDUCTION_SQL} as reduction_pct from v_chunks_metrics""")
+select doc_id, cast(original_tokens as int) as original_tokens, cast(chunk_tokens as int) as chunk_tokens,
+ {REDUCTION_SQL} as reduction_pct from v_chunks_metrics""")
 def prj_reduction_pct(spark, sf_dir):
     m = view(spark, sf_dir, "v_chunks_metrics")
     return m.withColumn("reduction_pct", agg.reduction_pct())
