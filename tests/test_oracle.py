@@ -35,6 +35,10 @@ def duck():
     return con
 
 
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN",
+         "array<double>": "DOUBLE[]"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, duck, name):
     df = entry.queries()[name](spark, SF)
@@ -43,6 +47,9 @@ def test_query_matches_oracle(spark, duck, name):
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    dtypes = {r[0]: str(r[1]) for r in duck.execute(f"describe {ORACLES[name]}").fetchall()}
+    stypes = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    assert stypes == dtypes
     assert len(srows) == len(drows)
     assert _digest(df.columns, srows) == _digest(dcols, drows)
 
