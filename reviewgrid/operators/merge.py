@@ -55,10 +55,15 @@ def dedup(findings: DataFrame, scope: list[str] = SCOPE, order_col: str = "seq")
 
 
 def prioritise(survivors: DataFrame, scope: list[str] = SCOPE,
-               hot_rows: int | None = None, materialize: bool = True) -> DataFrame:
-    """M3: ``position`` inside the PR by (severity rank, first seq of the key)."""
+               hot_rows: int | None = None, materialize: bool = True,
+               findings: DataFrame | None = None) -> DataFrame:
+    """M3: ``position`` inside the PR by (severity rank, first seq of the key).
+
+    ``findings`` (the dedup input, optional) bounds the survivors per PR, so
+    the hot-PR check can count it instead of recomputing the dedup.
+    """
     return position_within(survivors, scope, [F.col("rank"), F.col("first_seq")],
-                           name="position", hot_rows=hot_rows, materialize=materialize)
+                           name="position", hot_rows=hot_rows, materialize=materialize, bound=findings)
 
 
 def review_merge(per_agent: dict[str, DataFrame], item_cols: list[str],

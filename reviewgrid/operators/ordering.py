@@ -34,7 +34,8 @@ def _hot_rows(df: DataFrame, hot_rows: int | None) -> int:
 
 def position_within(df: DataFrame, group: list[str], order: list[Column | str],
                     name: str = "position", hot_rows: int | None = None,
-                    range_partitions: int | None = None, materialize: bool = True) -> DataFrame:
+                    range_partitions: int | None = None, materialize: bool = True,
+                    bound: DataFrame | None = None) -> DataFrame:
     """Add ``name`` = 1-based position of each row inside its group by ``order``.
 
     ``order`` must be a total order inside a group (ties broken by the caller).
@@ -42,7 +43,10 @@ def position_within(df: DataFrame, group: list[str], order: list[Column | str],
     so by default it is first written once with ``checkpoint()`` to the
     session's shared checkpoint folder: the upstream plan runs once, and the
     lineage is cut so a lost executor does not recompute it. Pass
-    ``materialize=False`` when the upstream is a cheap scan.
+    ``materialize=False`` when the upstream is a cheap scan. ``bound`` is an
+    optional frame with the same group columns and at least as many rows
+    per group (e.g. the input of a dedup); the hot-group check counts it
+    instead, which is cheaper than recomputing ``df``.
     """
     if materialize:
         ensure_checkpoint_dir(df.sparkSession)
@@ -52,7 +56,11 @@ def position_within(df: DataFrame, group: list[str], order: list[Column | str],
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_grp_rows"))
     hot = sizes.filter(F.col("_grp_rows") > F.lit(limit)).select(*group)
     w = Window.partitionBy(*group).orderBy(*order_cols)
-    if hot.limit(1).count() == 0:
+    check = hot
+    if bound is not None:
+        check = (bound.groupBy(*group).agg(F.count(F.lit(1)).alias("_grp_rows"))
+                 .filter(F.col("_grp_rows") > F.lit(limit)))
+    if check.limit(1).count() == 0:
         # No hot group (a map-side combined count decides): the plain window
         # is the whole plan, with no range sampling and no extra joins.
         return df.withColumn(name, F.row_number().over(w))

@@ -53,7 +53,7 @@ select {", ".join(OUT)}, seq, rank, first_seq,
 @query("mrg_prioritise", "M3", oracle=_PRIORITISE_SQL)
 def mrg_prioritise(spark, sf_dir):
     f = view(spark, sf_dir, "v_findings").drop("created_at")
-    return merge.prioritise(merge.dedup(f, order_col="seq"), materialize=False).select(
+    return merge.prioritise(merge.dedup(f, order_col="seq"), materialize=False, findings=f).select(
         *OUT, "seq", "rank", "first_seq", "position")
 
 
@@ -73,7 +73,7 @@ def merged_findings(spark, sf_dir, hot_rows=None):
     """M4 over V_findings; also the input of the report queries."""
     ordered = merge.order_findings(_with_agents(spark, sf_dir), ["item_seq"])
     # The upstream is a projection of one table scan: cheaper to re-read than to checkpoint.
-    return merge.prioritise(merge.dedup(ordered), hot_rows=hot_rows, materialize=False)
+    return merge.prioritise(merge.dedup(ordered), hot_rows=hot_rows, materialize=False, findings=ordered)
 
 
 @query("mrg_review", "M4", oracle=REVIEW_SQL)

@@ -32,10 +32,11 @@ SCHEMA = ("repo string, pr_number int, seq bigint, file_path string, line_number
           "severity string, description string, suggested_fix string")
 
 
-def spark_merge(spark, rows, partitions=3, hot_rows=None):
+def spark_merge(spark, rows, partitions=3, hot_rows=None, bounded=False):
     df = spark.createDataFrame([tuple(r[c] for c in [s.split()[0] for s in SCHEMA.split(", ")]) for r in rows],
                                SCHEMA).repartition(partitions)
-    out = merge.prioritise(merge.dedup(df, order_col="seq"), hot_rows=hot_rows)
+    out = merge.prioritise(merge.dedup(df, order_col="seq"), hot_rows=hot_rows,
+                           findings=df if bounded else None)
     return [r.asDict() for r in out.orderBy("position").collect()]
 
 
@@ -51,7 +52,10 @@ def test_independent_of_partitioning_and_hot_path(spark):
     a = spark_merge(spark, rows, partitions=1)
     b = spark_merge(spark, rows, partitions=7)
     c = spark_merge(spark, rows, partitions=5, hot_rows=1)   # every PR handled as a hot group
-    assert [r["seq"] for r in a] == [r["seq"] for r in b] == [r["seq"] for r in c]
+    d = spark_merge(spark, rows, partitions=2, hot_rows=1, bounded=True)
+    e = spark_merge(spark, rows, partitions=2, bounded=True)
+    assert [r["seq"] for r in a] == [r["seq"] for r in b] == [r["seq"] for r in c] == \
+        [r["seq"] for r in d] == [r["seq"] for r in e]
     assert [r["position"] for r in c] == list(range(1, len(c) + 1))
 
 
