@@ -253,6 +253,8 @@ def ast_toplevel_chunks(sources: DataFrame, keys: list[str] = DIFF_KEY) -> DataF
     text is cut back in the JVM. Sections Python cannot parse use the line
     rules.
     """
+    from ..session import ship_package
+    ship_package(sources.sparkSession)
     ids = sources.withColumn("_sid", F.xxhash64(*keys, "file_ord"))
     ext = ids.select("_sid", "source").mapInPandas(
         _ast_extents, "_sid long, parsed boolean, chunk_ord int, start_line int, end_line int, "

@@ -74,6 +74,8 @@ def embed_with(df: DataFrame, text_col: str, fn: Callable, out: str = "embedding
 
     ``fn(pandas.Series[str]) -> pandas.Series[list[float]]``.
     """
+    from ..session import ship_package
+    ship_package(df.sparkSession)
     udf = F.pandas_udf(fn, "array<double>")
     return df.withColumn(out, udf(F.col(text_col)))
 

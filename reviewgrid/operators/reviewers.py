@@ -205,6 +205,8 @@ def model_calls(tasks: DataFrame, fn: Callable[[str, str, str], str], concurrenc
     bounds the number of simultaneous callers (partitions). The result adds
     ``response`` and ``error`` columns.
     """
+    from ..session import ship_package
+    ship_package(tasks.sparkSession)
     if concurrency:
         tasks = tasks.repartition(concurrency)
     schema = StructType(list(tasks.schema.fields) + [StructField("response", StringType()),

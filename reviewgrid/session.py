@@ -59,3 +59,32 @@ def work_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for one job's tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/reviewgrid/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``reviewgrid`` importable in Python workers (``addPyFile``).
+
+    Needed before any ``mapInPandas`` / pandas UDF whose function lives in
+    this package: executors unpickle it by module name. Done once per
+    application, like ``--py-files`` at submit time.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    fd, path = tempfile.mkstemp(prefix="reviewgrid-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w") as z:
+        for dirpath, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
