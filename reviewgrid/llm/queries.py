@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_ngram_join, op7_langid
+from . import op1_ngram_join, op4_suffix_dedup, op7_langid
 from .common import documents, identity
 
 ORACLES: dict[str, str] = {}
@@ -19,6 +19,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_ngram_join.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return op4_suffix_dedup.remove(docs, op4_suffix_dedup.repeats(docs), with_text=False).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_langid_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = op7_langid.learn(docs)
@@ -28,5 +34,6 @@ def op7_langid_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op7_langid_crf": op7_langid_crf,
 }
