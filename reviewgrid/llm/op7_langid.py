@@ -193,14 +193,16 @@ def training_rows(docs: DataFrame, docs_per_lang: int, span_chars: int, max_lang
     """The bounded training sample (see the module notes)."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
                         & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     h = F.xxhash64(F.col("doc_id"))
     at = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.greatest(F.length("text") - span_chars, F.lit(1))) + 1
     rows: list[tuple[str, str]] = []
-    for lang in sorted(langs):
+    for lang in sorted(counts):
+        # the hash range that holds about four times as many rows as are wanted, so tasks send few
+        limit = int(min(1.0, 4 * docs_per_lang / counts[lang] + 1e-9) * 2**64) - 2**63
         span = F.col("text").substr(at.cast("int"), F.lit(span_chars))
-        rows += [(lang, r["t"]) for r in known.filter(F.col("lang") == lang).select(h.alias("h"), span.alias("t"))
-                 .orderBy("h", "t").limit(docs_per_lang).collect()]
+        rows += [(lang, r["t"]) for r in known.filter((F.col("lang") == lang) & (h <= min(limit, 2**63 - 1)))
+                 .select(h.alias("h"), span.alias("t")).orderBy("h", "t").limit(docs_per_lang).collect()]
     return rows
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_ngram_join, op4_suffix_dedup, op7_langid
-from .common import documents, identity
+from . import op1_ngram_join, op3_decontaminate, op4_suffix_dedup, op7_langid
+from .common import documents, identity, table
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_benchmark_decontamination": op3_decontaminate.ORACLE}
 
 
 def remainder(n: int) -> Column:
@@ -19,6 +19,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_ngram_join.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op3_decontaminate.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.drop("thash")
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return op4_suffix_dedup.remove(docs, op4_suffix_dedup.repeats(docs), with_text=False).select(
@@ -34,6 +39,7 @@ def op7_langid_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op7_langid_crf": op7_langid_crf,
 }
