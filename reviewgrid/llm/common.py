@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package, work_path
 from ..sources.tables import table
 
-__all__ = ["components", "documents", "identity", "null_safe", "spill", "ship_package", "table", "unused"]
+__all__ = ["KeyFilter", "components", "documents", "identity", "null_safe", "spill", "ship_package", "table", "unused"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +44,57 @@ def null_safe(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
 
 
+class KeyFilter:
+    """A bitmap of fixed size (``1 << BITS`` bits, 4 MB) over hashed long keys.
+
+    Tasks keep rows whose key may be wanted before anything is shuffled; an exact join
+    follows, so a full bitmap costs time and nothing else. Partial bitmaps travel
+    compressed and meet in slices; the driver gets the 4 MB.
+    """
+
+    BITS = 25
+    SLICE = 1 << 16  # bytes
+
+    def __init__(self, keys: DataFrame):
+        bits, step = self.BITS, self.SLICE
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = np.zeros(1 << bits, bool)
+            for b in batches:
+                got[KeyFilter.slot(np.asarray(b.column(0)))] = True
+            yield from KeyFilter._parts(np.packbits(got), step)
+
+        def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 << (bits - 3), np.uint8)
+            for b in batches:
+                for k, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    total[k * step:(k + 1) * step] |= np.frombuffer(zlib.decompress(part), np.uint8)
+            yield from KeyFilter._parts(total, step)
+
+        rows = keys.mapInArrow(mark, "k int, part binary").repartition(8, "k").mapInArrow(unite, "k int, part binary").collect()
+        self.bits = np.zeros(1 << (bits - 3), np.uint8)
+        for r in rows:
+            self.bits[r["k"] * step:(r["k"] + 1) * step] |= np.frombuffer(zlib.decompress(r["part"]), np.uint8)
+
+    @staticmethod
+    def _parts(packed: np.ndarray, step: int) -> Iterator[pa.RecordBatch]:
+        used = [k for k in range(len(packed) // step) if packed[k * step:(k + 1) * step].any()]
+        if used:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(used, pa.int32()),
+                 pa.array([zlib.compress(packed[k * step:(k + 1) * step].tobytes(), 1) for k in used], pa.binary())],
+                names=["k", "part"])
+
+    @staticmethod
+    def slot(keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - KeyFilter.BITS)).astype(np.int64)
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        at = self.slot(keys)
+        return (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have (in any letter case)."""
     have = {c.lower() for c in df.columns}
