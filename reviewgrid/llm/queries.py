@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_ngram_join, op3_decontaminate, op4_suffix_dedup, op7_langid
+from . import op1_ngram_join, op3_decontaminate, op4_suffix_dedup, op7_langid, op9_mixing
 from .common import documents, identity, table
 
-ORACLES: dict[str, str] = {"op3_benchmark_decontamination": op3_decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op3_benchmark_decontamination": op3_decontaminate.ORACLE,
+                           "op9_mixing_budgets": op9_mixing.oracle()}
 
 
 def remainder(n: int) -> Column:
@@ -37,9 +38,14 @@ def op7_langid_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_words")
 
 
+def op9_mixing_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_mixing.mix(documents(spark, sf_dir), keep=["doc_id", "lang", "source"])
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op7_langid_crf": op7_langid_crf,
+    "op9_mixing_budgets": op9_mixing_budgets,
 }
