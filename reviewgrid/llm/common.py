@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..session import ship_package, work_path
 from ..sources.tables import table
 
-__all__ = ["KeyFilter", "components", "documents", "identity", "null_safe", "spill", "ship_package", "table", "unused"]
+__all__ = ["KeyFilter", "components", "documents", "identity", "null_safe", "on_identity",
+           "row_key", "ship_package", "spill", "split", "table", "unused"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,3 +134,35 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         mark = (now["n"], now["h"])
     return e.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def split(docs: DataFrame, wanted: KeyFilter) -> tuple[DataFrame, DataFrame]:
+    """(rows whose identity may be in ``wanted``, rows whose identity surely is not), all columns.
+
+    Only the first part needs a shuffle afterwards; the second never leaves its tasks.
+    """
+    key = unused(docs, "split_key")
+    keyed = docs.withColumn(key, row_key(docs))
+    columns = docs.columns
+    at = len(columns)
+
+    def part(hold: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                mask = wanted.may_hold(np.asarray(batch.column(at))) == hold
+                if mask.any():
+                    yield pa.RecordBatch.from_arrays(batch.filter(pa.array(mask)).columns[:at], names=columns)
+        return run
+
+    return keyed.mapInArrow(part(True), docs.schema), keyed.mapInArrow(part(False), docs.schema)
+
+
+def row_key(docs: DataFrame) -> Column:
+    """64-bit hash of a row's identity (see ``identity``); equal for repeated rows."""
+    return F.xxhash64(docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+
+
+def on_identity(docs: DataFrame, other: DataFrame, doc: str, thash: str) -> Column:
+    """Join condition between full rows of ``docs`` and identities in ``other``."""
+    return docs["doc_id"].cast("long").eqNullSafe(other[doc]) & (
+        F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == other[thash])

@@ -29,12 +29,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import identity, null_safe
+from .common import identity, on_identity, spill, unused
 
 WINDOW = 8
 MIN_COVER = 13
 MIN_ITEM = 4
-BROADCAST_WINDOWS = 500_000
+BROADCAST_WINDOWS = 500_000  # 24 bytes each
+BROADCAST_ROWS = 50_000  # alignments or items, some hundred bytes each
 
 # Unit words recognised after a number.
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "feet", "mile", "miles", "mg", "g", "kg", "lb", "oz", "ton", "tons",
@@ -84,6 +85,11 @@ def windows(tokens: Column, lengths: list[int]) -> Column:
     return let(tokens, of)
 
 
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows (counted), else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_cover: int = MIN_COVER,
           min_item: int = MIN_ITEM, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """Contaminated pairs: doc_id, thash, item_id, matched_tokens, item_tokens, n_slots, slots_changed, consistent."""
@@ -99,8 +105,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_cover
             F.xxhash64(F.slice("it.c", i, F.col("w"))).alias("h"), (i - 1).alias("j"),
             F.size(F.filter(F.slice("it.c", i, F.col("w")), lambda c: ~is_slot(c))).alias("literal")))).alias("g"))
         .filter(F.col("g.literal") * 2 >= F.col("w")).select("ikey", "w", "n", "g.h", "g.j"))
-    if grams.count() <= broadcast_windows:
-        grams = F.broadcast(grams)
+    grams = bounded(spill(grams, "item-windows"), broadcast_windows)
     found = (docs.select("doc_id", "thash", F.explode_outer(windows(template(F.col("text")), lengths)).alias("g"))
              .select("doc_id", "thash", "g.h", "g.p").filter(F.col("h").isNotNull())
              .join(grams, "h"))
@@ -110,10 +115,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_cover
     spans = F.flatten(F.transform("js", lambda j: F.sequence(j, j + F.col("w") - 1)))
     aligned = (aligned.withColumn("at", F.array_distinct(spans))
                .filter(F.size("at") >= F.least(F.lit(min_cover), F.col("n") - 1)).drop("js"))
+    aligned = bounded(spill(aligned, "alignments"), BROADCAST_ROWS)
     texts = docs.select(F.col("doc_id").alias("d"), F.col("thash").alias("t"), "text")
-    back = aligned.join(texts, aligned["doc_id"].eqNullSafe(F.col("d")) & (aligned["thash"] == F.col("t"))).join(
-        F.broadcast(items.select("ikey", "item_id", "it")) if grams.count() <= broadcast_windows else
-        items.select("ikey", "item_id", "it"), "ikey")
+    back = texts.join(aligned, aligned["doc_id"].eqNullSafe(F.col("d")) & (aligned["thash"] == F.col("t"))).join(
+        bounded(items.select("ikey", "item_id", "it"), BROADCAST_ROWS), "ikey")
     slots = let(template(F.col("text")), lambda z: F.transform(
         F.filter("at", lambda k: is_slot(F.element_at("it.c", k + 1))),
         lambda k: F.struct(F.element_at("it.v", k + 1).alias("a"), F.try_element_at(z["v"], (k + F.col("diagonal") + 1).cast("int")).alias("b"))))
@@ -133,12 +138,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_cover
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Rows of ``docs``, all columns, that hold no benchmark passage."""
-    from .common import unused
-
     d, t = unused(docs, "leak_doc"), unused(docs, "leak_hash")
     bad = leaks(docs, benchmark, **options).select(F.col("doc_id").alias(d), F.col("thash").alias(t)).distinct()
-    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad[d]) & (key == bad[t]), "left_anti")
+    bad = bounded(spill(bad, "leaking"), BROADCAST_WINDOWS)
+    return docs.join(bad, on_identity(docs, bad, d, t), "left_anti")
 
 
 ORACLE = r"""

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import identity, null_safe, spill
+from .common import KeyFilter, identity, null_safe, on_identity, spill, split, unused
 from .kernels import Prefix, U64, _TABLE, chunks, cover, int64, mix, runs, sliding_min
 
 LENGTH = 200
@@ -287,7 +287,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     whole = classes.filter("n > 1").select("anchor", "seg", F.lit(0).cast("long").alias("s"), F.col("cnt").alias("e"))
 
     several = classes.filter("m > 1")
-    body = (several.join(docs.withColumnsRenamed({"doc_id": "d", "thash": "t"}),
+    holders, _ = split(docs, KeyFilter(several.select(F.xxhash64("doc_id", "thash"))))
+    body = (several.join(holders.withColumnsRenamed({"doc_id": "d", "thash": "t"}),
                          several["doc_id"].eqNullSafe(F.col("d")) & (several["thash"] == F.col("t")))
             .select("anchor", "seg", "n", "off", "cnt", "m",
                     F.substring(F.encode("text", "UTF-8"), (F.col("start") + 1).cast("int"),
@@ -307,40 +308,78 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
         "doc_id", "thash", (F.col("start") + F.col("s")).alias("s"), (F.col("start") + F.col("e") - 1 + length).alias("e"))
 
 
-def remove(docs: DataFrame, spans: DataFrame, with_text: bool = True) -> DataFrame:
-    """Per row of ``docs``: doc_id, thash, n_bytes, n_removed, n_spans, kept_sha256 and (with_text) ``kept``.
-
-    ``kept`` is the remaining bytes as text; a character cut in the middle loses its other
-    bytes too. The digest is of the remaining bytes themselves.
-    """
-    docs = identity(docs)
-    lists = spans.groupBy("doc_id", "thash").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(listed: bool, with_text: bool):
+    """Rows doc_id, thash, text[, span starts, span ends] -> counts, digest and kept text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts, ends = batch.column(3), batch.column(4)
             for chunk in chunks(batch.column(2)):
                 rows = chunk.hi - chunk.lo
                 out: list[tuple] = []
                 for k in range(rows):
-                    text = chunk.text(k)
-                    s = starts[chunk.lo + k].values
-                    if s is None or not len(s):
-                        out.append((len(text), 0, 0, hashlib.sha256(text).hexdigest(), text))
-                        continue
-                    mask = cover(len(text), np.asarray(s), np.asarray(ends[chunk.lo + k].values))
-                    kept = chunk.data[chunk.bounds[k]:chunk.bounds[k + 1]][~mask].tobytes()
-                    out.append((len(text), int(mask.sum()), len(runs(mask)[0]), hashlib.sha256(kept).hexdigest(),
-                                kept.decode("utf-8", "ignore").encode() if with_text else b""))
+                    text, gone, spans = chunk.text(k), 0, 0
+                    s = batch.column(3)[chunk.lo + k].values if listed else None
+                    if s is not None and len(s):
+                        mask = cover(len(text), np.asarray(s), np.asarray(batch.column(4)[chunk.lo + k].values))
+                        gone, spans = int(mask.sum()), len(runs(mask)[0])
+                        text = chunk.data[chunk.bounds[k]:chunk.bounds[k + 1]][~mask].tobytes()
+                    out.append((len(text) + gone, gone, spans, hashlib.sha256(text).hexdigest(), text))
                 cols = list(zip(*out, strict=True))
                 arrays = [batch.column(0).slice(chunk.lo, rows), batch.column(1).slice(chunk.lo, rows),
                           *(pa.array(c, LONG) for c in cols[:3]), pa.array(cols[3], pa.string())]
                 names = ["doc_id", "thash", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
                 if with_text:
-                    arrays, names = [*arrays, pa.array(cols[4], pa.binary()).cast(pa.string())], [*names, "kept"]
+                    arrays.append(pa.array([t.decode("utf-8", "ignore") for t in cols[4]], pa.string()))
+                    names.append("kept")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+    return run
 
-    joined = docs.alias("d").join(lists.alias("l"), null_safe(docs, lists, ["doc_id", "thash"]), "left").select(
+
+def remove(docs: DataFrame, spans: DataFrame, with_text: bool = True) -> DataFrame:
+    """Per row of ``docs``: doc_id, thash, n_bytes, n_removed, n_spans, kept_sha256 and (with_text) ``kept``.
+
+    ``kept`` is the remaining bytes as text; a character cut in the middle loses its other
+    bytes too. The digest is of the remaining bytes themselves. Rows without a span are
+    finished where they are read; only the others are shuffled to meet their spans.
+    """
+    docs = identity(docs)
+    lists = spill(spans.groupBy("doc_id", "thash").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e")), "removals")
+    some, none = split(docs, KeyFilter(lists.select(F.xxhash64("doc_id", "thash"))))
+    joined = some.alias("d").join(lists.alias("l"), null_safe(some, lists, ["doc_id", "thash"]), "left").select(
         "d.doc_id", "d.thash", "d.text", "l.s", "l.e")
-    return joined.mapInArrow(cut, "doc_id long, thash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-                             + (", kept string" if with_text else ""))
+    schema = "doc_id long, thash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "")
+    return joined.mapInArrow(_cut(True, with_text), schema).union(none.mapInArrow(_cut(False, with_text), schema))
+
+
+def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with repeated strings cut out of ``text`` (and ``n_chars``, if there, brought up to date).
+
+    Rows of which nothing but white space is left are dropped; rows that had nothing else
+    to begin with, and all other columns, stay as they are.
+    """
+    lists = spill(repeats(docs, length).groupBy("doc_id", "thash").agg(
+        F.collect_list("s").alias("s"), F.collect_list("e").alias("e")), "removals")
+    some, none = split(docs, KeyFilter(lists.select(F.xxhash64("doc_id", "thash"))))
+    names = [unused(docs, f"cut_{k}") for k in ("doc", "hash", "s", "e")]
+    lists = lists.toDF(*names)
+    joined = some.join(lists, on_identity(some, lists, *names[:2]), "left").drop(*names[:2])
+    columns = docs.columns
+    at, width = columns.index("text"), len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, stays = [], []
+            for text, s, e in zip(batch.column(at).to_pylist(), batch.column(width), batch.column(width + 1), strict=True):
+                if text and s.values is not None and len(s.values):
+                    raw = np.frombuffer(text.encode(), np.uint8)
+                    left = raw[~cover(len(raw), np.asarray(s.values), np.asarray(e.values))].tobytes().decode("utf-8", "ignore")
+                    stays.append(bool(left.strip()))
+                    text = left
+                else:
+                    stays.append(True)
+                texts.append(text)
+            arrays = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns[:width])]
+            yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(stays, pa.bool_()))
+
+    out = joined.mapInArrow(run, docs.schema).union(none)
+    kind = dict(docs.dtypes).get("n_chars")
+    return out.withColumn("n_chars", F.length("text").cast(kind)) if kind in ("int", "bigint") else out

@@ -289,3 +289,21 @@ def label_words(docs: DataFrame, model: Model | None) -> DataFrame:
 
     return docs.select("doc_id", "thash", "text").mapInArrow(
         spans, "doc_id long, thash long, start long, end long, words long, lang string")
+
+
+def identified(docs: DataFrame, model: Model | None, min_score: float = 0.3) -> DataFrame:
+    """Rows of ``docs``, all columns, whose language is identified with at least ``min_score``;
+    texts that are ``und`` go."""
+    ship_package(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BATCH_DOCS):
+                part = batch.slice(lo, BATCH_DOCS)
+                post, first = _labelled(model, part.column(at).to_pylist(), cache)
+                best = [len(p) > 0 and p.mean(axis=0).max() >= min_score for p in (post[a:b] for a, b in zip(first, first[1:], strict=False))]
+                yield part.filter(pa.array(best, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
