@@ -41,7 +41,7 @@ from .kernels import Prefix, U64, _TABLE, chunks, cover, int64, mix, runs, slidi
 LENGTH = 200
 KMER = 24
 SHALLOW = 16
-HOT = 256
+HOT = 20_000
 PIECE = 1 << 22  # longer rows are anchored piece by piece (positions take 24 bits)
 LONG = pa.int64()
 

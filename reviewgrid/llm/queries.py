@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_ngram_join, op3_decontaminate, op4_suffix_dedup, op7_langid, op9_mixing
+from . import op1_ngram_join, op3_decontaminate, op4_suffix_dedup, op6_rolling_dedup, op7_langid, op9_mixing
 from .common import documents, identity, table
 
-ORACLES: dict[str, str] = {"op3_benchmark_decontamination": op3_decontaminate.ORACLE,
+OP6 = """
+WITH src AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT k, doc_id, i, w[i + 1:i + 13] AS g FROM (SELECT *, unnest(range(0, len(w) - 12)) AS i FROM src) WHERE len(w) >= 13),
+hit AS (SELECT k, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY g) AS m FROM win) WHERE m < doc_id),
+gone AS (SELECT DISTINCT k, unnest(range(i, i + 13)) AS p FROM hit),
+word AS (SELECT k, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS p FROM src),
+kept AS (SELECT k, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (k, p) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256, coalesce(s, 0)::BIGINT AS n_spans
+FROM src LEFT JOIN (SELECT k, count(*) AS n, count(*) FILTER (b IS NULL OR b < p - 1) AS s
+  FROM (SELECT k, p, lag(p) OVER (PARTITION BY k ORDER BY p) AS b FROM gone) GROUP BY k) USING (k) LEFT JOIN kept USING (k)
+"""
+ORACLES: dict[str, str] = {"op6_rolling_hash_dedup": OP6,
+                           "op3_benchmark_decontamination": op3_decontaminate.ORACLE,
                            "op9_mixing_budgets": op9_mixing.oracle()}
 
 
@@ -31,6 +43,10 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_rolling_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_rolling_dedup.remove(documents(spark, sf_dir), with_text=False).drop("thash")
+
+
 def op7_langid_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = op7_langid.learn(docs)
@@ -46,6 +62,7 @@ QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op6_rolling_hash_dedup": op6_rolling_hash_dedup,
     "op7_langid_crf": op7_langid_crf,
     "op9_mixing_budgets": op9_mixing_budgets,
 }
