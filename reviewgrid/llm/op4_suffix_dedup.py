@@ -347,7 +347,7 @@ def remove(docs: DataFrame, spans: DataFrame, with_text: bool = True) -> DataFra
     joined = some.alias("d").join(lists.alias("l"), null_safe(some, lists, ["doc_id", "thash"]), "left").select(
         "d.doc_id", "d.thash", "d.text", "l.s", "l.e")
     schema = "doc_id long, thash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "")
-    return joined.mapInArrow(_cut(True, with_text), schema).union(none.mapInArrow(_cut(False, with_text), schema))
+    return joined.mapInArrow(_cut(True, with_text), schema).union(none.select("doc_id", "thash", "text").mapInArrow(_cut(False, with_text), schema))
 
 
 def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
