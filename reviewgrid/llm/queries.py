@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_ngram_join, op3_decontaminate, op4_suffix_dedup, op6_rolling_dedup, op7_langid, op9_mixing
+from . import (op1_ngram_join, op2_toxicity, op3_decontaminate, op4_suffix_dedup, op5_quality_qda, op6_rolling_dedup, op7_langid,
+               op9_mixing, op10_repetition)
 from .common import documents, identity, table
 
 OP6 = """
@@ -32,6 +33,13 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_ngram_join.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = identity(documents(spark, sf_dir)), F.coalesce(remainder(3) == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").filter(remainder(3) != 1)
+    return op2_toxicity.score(docs, op2_toxicity.learn(docs, labels)).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op3_decontaminate.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.drop("thash")
@@ -43,6 +51,12 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op5_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = op5_quality_qda.assess(documents(spark, sf_dir), table(spark, sf_dir, "labels"), remainder(4) != 2)
+    return scored.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_rolling_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_rolling_dedup.remove(documents(spark, sf_dir), with_text=False).drop("thash")
 
@@ -58,11 +72,18 @@ def op9_mixing_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_mixing.mix(documents(spark, sf_dir), keep=["doc_id", "lang", "source"])
 
 
+def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_repetition.score(documents(spark, sf_dir)).drop("thash")
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_toxicity_grammar": op2_toxicity_grammar,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_quality_discriminant": op5_quality_discriminant,
     "op6_rolling_hash_dedup": op6_rolling_hash_dedup,
     "op7_langid_crf": op7_langid_crf,
     "op9_mixing_budgets": op9_mixing_budgets,
+    "op10_repetition_rules": op10_repetition_rules,
 }
