@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (op1_ngram_join, op2_toxicity, op3_decontaminate, op4_suffix_dedup, op5_quality_qda, op6_rolling_dedup, op7_langid,
-               op9_mixing, op10_repetition)
+               op8_license, op9_mixing, op10_repetition)
 from .common import documents, identity, table
 
 OP6 = """
@@ -68,6 +68,10 @@ def op7_langid_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_words")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_license.scan(documents(spark, sf_dir)).drop("thash")
+
+
 def op9_mixing_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_mixing.mix(documents(spark, sf_dir), keep=["doc_id", "lang", "source"])
 
@@ -84,6 +88,7 @@ QUERIES = {
     "op5_quality_discriminant": op5_quality_discriminant,
     "op6_rolling_hash_dedup": op6_rolling_hash_dedup,
     "op7_langid_crf": op7_langid_crf,
+    "op8_license_scan": op8_license_scan,
     "op9_mixing_budgets": op9_mixing_budgets,
     "op10_repetition_rules": op10_repetition_rules,
 }
