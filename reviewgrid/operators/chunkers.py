@@ -18,7 +18,7 @@ Line rules used instead of a parser (see README, "Re-aimed"):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .diff_lines import DIFF_KEY, is_blank, split_lines, word_count
@@ -37,18 +37,16 @@ def _sub(expr: str, var: str) -> str:
 
 # C4 + C5: boundaries at column-0 "def " / "class ". A non-last chunk ends
 # one line before the next boundary (the line just before it is dropped).
-_BOUNDARY_CHUNKS = """
-if(size(_b) = 0,
-   array(named_struct('chunk_ord', 0, 'content', source, 'start_line', 1,
-                      'end_line', size(src_lines), 'method', 'whole_file')),
-   transform(_b, (s, k) -> named_struct(
-     'chunk_ord', k,
-     'content', array_join(slice(src_lines, s + 1,
-                   coalesce(try_element_at(_b, k + 2) - 1, size(src_lines)) - s), '\n'),
-     'start_line', s + 1,
-     'end_line', coalesce(try_element_at(_b, k + 2) - 1, size(src_lines)),
-     'method', 'boundary')))
-"""
+_BOUNDARY_EXTENTS = """if(size(_b) = 0,
+   array(named_struct('chunk_ord', 0, 'start_line', 1, 'end_line', size(src_lines), 'method', 'whole_file', 'head', '')),
+   transform(_b, (s, k) -> named_struct('chunk_ord', k, 'start_line', s + 1,
+     'end_line', coalesce(try_element_at(_b, k + 2) - 1, size(src_lines)), 'method', 'boundary', 'head', '')))"""
+
+
+def _chunk_text() -> Column:
+    """The text of extent ``c``: its lines, or the whole source."""
+    return F.when(F.col("c.method") == "whole_file", F.col("source")).otherwise(F.expr(
+        "array_join(slice(src_lines, c.start_line, greatest(c.end_line - c.start_line + 1, 0)), '\\n')"))
 
 
 def boundary_chunks(sources: DataFrame, keys: list[str] = DIFF_KEY) -> DataFrame:
@@ -56,24 +54,26 @@ def boundary_chunks(sources: DataFrame, keys: list[str] = DIFF_KEY) -> DataFrame
     b = F.expr("filter(transform(src_lines, (l, i) -> "
                "if(startswith(l, 'def ') or startswith(l, 'class '), i, -1)), i -> i >= 0)")
     out = sources.withColumn("_b", b).select(
-        *keys, "file_ord", "file_path", F.explode_outer(F.expr(_BOUNDARY_CHUNKS)).alias("c"))
-    return out.filter(F.col("c").isNotNull()).select(*keys, "file_ord", "file_path", "c.*")
+        *keys, "file_ord", "file_path", "source", "src_lines", F.explode_outer(F.expr(_BOUNDARY_EXTENTS)).alias("c"))
+    return out.filter(F.col("c").isNotNull()).select(
+        *keys, "file_ord", "file_path", F.col("c.chunk_ord").alias("chunk_ord"), _chunk_text().alias("content"),
+        F.col("c.start_line").alias("start_line"), F.col("c.end_line").alias("end_line"), F.col("c.method").alias("method"))
 
 
 # Positions in the significant-line array _n (1-based) of column-0 lines
 # that are not closers; top-level openers are among them and each block
 # ends at the significant line before the next one.
-_TOP_CHUNKS = """
-transform(
+# A block whose previous such line opens a decorator (which may run over
+# indented and closing lines) is left out.
+_TOP_OPENERS = """
   filter(transform(_t, (p, m) -> named_struct('p', p, 'm', m)),
          x -> element_at(_n, x.p).l rlike '^(async\\\\s+def|def|class)\\\\s'
-              and (x.p = 1 or not startswith(element_at(_n, x.p - 1).l, '@'))),
-  (x, k) -> named_struct(
-    'chunk_ord', k,
-    'start', element_at(_n, x.p).i,
-    'end', element_at(_n, coalesce(try_element_at(_t, x.m + 2), size(_n) + 1) - 1).i,
-    'head', element_at(_n, x.p).l))
-"""
+              and (x.m = 0 or not startswith(element_at(_n, element_at(_t, x.m)).l, '@')))"""
+# Extents of C6 chunks: start and end line (1-based) and the opening line.
+_TOP_EXTENTS = f"""transform({_TOP_OPENERS},
+  (x, k) -> named_struct('chunk_ord', k, 'start_line', element_at(_n, x.p).i + 1,
+    'end_line', element_at(_n, coalesce(try_element_at(_t, x.m + 2), size(_n) + 1) - 1).i + 1,
+    'method', 'ast', 'head', element_at(_n, x.p).l))"""
 
 
 def toplevel_chunks(sources: DataFrame, keys: list[str] = DIFF_KEY) -> DataFrame:
@@ -89,12 +89,11 @@ def toplevel_chunks(sources: DataFrame, keys: list[str] = DIFF_KEY) -> DataFrame
                f"not ({_sub(_INDENTED, 'x.l')} or {_sub(_CLOSER, 'x.l')}), p + 1, -1)), p -> p > 0)")
     df = sources.withColumn("_n", n).withColumn("_t", t)
     out = df.select(*keys, "file_ord", "file_path", "source", "src_lines",
-                    F.explode_outer(F.expr(_TOP_CHUNKS)).alias("c"))
+                    F.explode_outer(F.expr(_TOP_EXTENTS)).alias("c"))
     out = out.filter(F.col("c").isNotNull()).select(
         *keys, "file_ord", "file_path", F.col("c.chunk_ord").alias("chunk_ord"),
-        F.expr("array_join(slice(src_lines, c.start + 1, c.end - c.start + 1), '\n')").alias("content"),
-        (F.col("c.start") + 1).alias("start_line"), (F.col("c.end") + 1).alias("end_line"),
-        F.lit("ast").alias("method"),
+        F.expr("array_join(slice(src_lines, c.start_line, c.end_line - c.start_line + 1), '\n')").alias("content"),
+        F.col("c.start_line").alias("start_line"), F.col("c.end_line").alias("end_line"), F.col("c.method").alias("method"),
         F.expr(_NAME.format(l="c.head")).alias("name"),
         F.when(F.col("c.head").startswith("class"), F.lit("class")).otherwise(F.lit("function"))
         .alias("chunk_type"),
@@ -107,20 +106,6 @@ def toplevel_chunks(sources: DataFrame, keys: list[str] = DIFF_KEY) -> DataFrame
 
 CHUNK_COLS = ["file_ord", "chunk_ord", "file_path", "content", "start_line", "end_line", "method"]
 
-# Extents (1-based start/end lines) of C6 and C4/C5 chunks, chosen per row.
-_TOP_EXTENTS = """transform(
-  filter(transform(_t, (p, m) -> named_struct('p', p, 'm', m)),
-         x -> element_at(_n, x.p).l rlike '^(async\\\\s+def|def|class)\\\\s'
-              and (x.p = 1 or not startswith(element_at(_n, x.p - 1).l, '@'))),
-  (x, k) -> named_struct('chunk_ord', k, 'start_line', element_at(_n, x.p).i + 1,
-    'end_line', element_at(_n, coalesce(try_element_at(_t, x.m + 2), size(_n) + 1) - 1).i + 1,
-    'method', 'ast'))"""
-_BOUNDARY_EXTENTS = """if(size(_b) = 0,
-   array(named_struct('chunk_ord', 0, 'start_line', 1, 'end_line', size(src_lines), 'method', 'whole_file')),
-   transform(_b, (s, k) -> named_struct('chunk_ord', k, 'start_line', s + 1,
-     'end_line', coalesce(try_element_at(_b, k + 2) - 1, size(src_lines)), 'method', 'boundary')))"""
-
-
 def dispatch_chunks(sources: DataFrame, keys: list[str] = DIFF_KEY) -> DataFrame:
     """``.py`` sections -> top-level chunks (C6), others -> C4/C5.
 
@@ -140,8 +125,7 @@ def dispatch_chunks(sources: DataFrame, keys: list[str] = DIFF_KEY) -> DataFrame
     ext = F.when(is_py, F.expr(_TOP_EXTENTS)).otherwise(F.expr(_BOUNDARY_EXTENTS))
     out = df.select(*keys, "file_ord", "file_path", "source", "src_lines", F.explode_outer(ext).alias("c"))
     out = out.filter(F.col("c").isNotNull())
-    content = F.when(F.col("c.method") == "whole_file", F.col("source")).otherwise(F.expr(
-        "array_join(slice(src_lines, c.start_line, greatest(c.end_line - c.start_line + 1, 0)), '\\n')"))
+    content = _chunk_text()
     return out.select(*keys, "file_ord", F.col("c.chunk_ord").alias("chunk_ord"), "file_path",
                       content.alias("content"), F.col("c.start_line").alias("start_line"),
                       F.col("c.end_line").alias("end_line"), F.col("c.method").alias("method"))

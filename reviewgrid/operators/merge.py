@@ -1,4 +1,4 @@
-"""Merge reviewer findings: union (M1), dedup (M2), prioritise (M3), whole merge (M4).
+"""Merge reviewer findings: order of the union (M1), dedup (M2), prioritise (M3); M4 is all three.
 
 Dedup is an aggregation, not a window: the survivor of each key is
 ``min_by(row, (rank, seq))`` and the key's position is ``min(seq)``, both
@@ -19,26 +19,6 @@ DEDUP_KEY = ["file_path", "line_number", "category"]
 SCOPE = ["repo", "pr_number"]
 
 
-def union_agents(per_agent: dict[str, DataFrame], item_cols: list[str]) -> DataFrame:
-    """M1: concatenate reviewer lists in reviewer order.
-
-    ``item_cols`` order the items inside one reviewer's list (for example
-    ``chunk_ord, item_ord``). The result carries ``agent``, ``agent_ord`` and
-    ``seq`` = struct(agent_ord, *item_cols), a total order per PR without any
-    global numbering.
-    """
-    frames = []
-    for ord_, agent in enumerate(AGENTS):
-        if agent not in per_agent:
-            continue
-        frames.append(per_agent[agent].withColumn("agent", F.lit(agent))
-                      .withColumn("agent_ord", F.lit(ord_).cast("int")))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out.withColumn("seq", F.struct("agent_ord", *item_cols))
-
-
 def dedup(findings: DataFrame, scope: list[str] = SCOPE, order_col: str = "seq") -> DataFrame:
     """M2: best severity per (scope, file_path, line_number, category), first on ties.
 
@@ -54,27 +34,9 @@ def dedup(findings: DataFrame, scope: list[str] = SCOPE, order_col: str = "seq")
     return agg.select(*keys, "_survivor.*", "first_seq")
 
 
-def prioritise(survivors: DataFrame, scope: list[str] = SCOPE,
-               hot_rows: int | None = None, materialize: bool = True,
-               findings: DataFrame | None = None) -> DataFrame:
-    """M3: ``position`` inside the PR by (severity rank, first seq of the key).
-
-    ``findings`` (the dedup input, optional) bounds the survivors per PR, so
-    the hot-PR check can count it instead of recomputing the dedup.
-    """
-    return position_within(survivors, scope, [F.col("rank"), F.col("first_seq")],
-                           name="position", hot_rows=hot_rows, materialize=materialize, bound=findings)
-
-
-def review_merge(per_agent: dict[str, DataFrame], item_cols: list[str],
-                 scope: list[str] = SCOPE, hot_rows: int | None = None) -> DataFrame:
-    """M4: M1 -> M2 -> M3."""
-    merged = union_agents(per_agent, item_cols)
-    return prioritise(dedup(merged, scope), scope, hot_rows)
-
-
-def split_by_agent(findings: DataFrame, agent_col: str = "agent") -> dict[str, DataFrame]:
-    return {a: findings.filter(F.col(agent_col) == F.lit(a)).drop(agent_col) for a in AGENTS}
+def prioritise(survivors: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
+    """M3: ``position`` inside the PR by (severity rank, first seq of the key)."""
+    return position_within(survivors, scope, [F.col("rank"), F.col("first_seq")], name="position")
 
 
 def order_findings(findings: DataFrame, item_cols: list[str], agent_col: str = "agent") -> DataFrame:

@@ -1,12 +1,15 @@
-"""Dense positions within groups that stay parallel when one group is hot.
+"""Dense positions within groups, by many tasks per group.
 
 ``row_number() over (partition by g order by o)`` sorts each group in a
 single task, so a group holding a third of all rows would serialise the
-job. ``position_within`` numbers ordinary groups with that window, and
-numbers hot groups (more than ``hot_rows`` rows, found by a map-side
-combined count) by range-partitioning them on ``(g, o)``, numbering inside
-each range, and adding the row counts of the earlier ranges of the same
-group. The offsets table has at most (partitions x hot groups) rows.
+job. ``position_within`` numbers all groups in one way, whatever their size:
+the rows are range-partitioned on ``(g, o)``, numbered inside each range, and
+offset by the row counts of the earlier ranges of the same group.
+
+Range boundaries come from a sample and are drawn anew each time the plan
+runs, so the partitioned rows are written once, with their range id, and
+both the numbering and the counts read that one table. The counts table has
+at most (ranges + groups) rows.
 """
 
 from __future__ import annotations
@@ -15,72 +18,38 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..session import ensure_checkpoint_dir
-
-DEFAULT_HOT_ROWS = 2_000_000
+from ..session import work_path
 
 
 def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
 
 
-def _hot_rows(df: DataFrame, hot_rows: int | None) -> int:
-    if hot_rows is not None:
-        return hot_rows
-    conf = df.sparkSession.conf.get("reviewgrid.hotGroupRows", None)
-    return int(conf) if conf else DEFAULT_HOT_ROWS
-
-
 def position_within(df: DataFrame, group: list[str], order: list[Column | str],
-                    name: str = "position", hot_rows: int | None = None,
-                    range_partitions: int | None = None, materialize: bool = True,
-                    bound: DataFrame | None = None) -> DataFrame:
+                    name: str = "position", range_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 1-based position of each row inside its group by ``order``.
 
     ``order`` must be a total order inside a group (ties broken by the caller).
-    The input feeds several branches (group sizes, ordinary and hot groups),
-    so by default it is first written once with ``checkpoint()`` to the
-    session's shared checkpoint folder: the upstream plan runs once, and the
-    lineage is cut so a lost executor does not recompute it. Pass
-    ``materialize=False`` when the upstream is a cheap scan. ``bound`` is an
-    optional frame with the same group columns and at least as many rows
-    per group (e.g. the input of a dedup); the hot-group check counts it
-    instead, which is cheaper than recomputing ``df``.
+    The ranged rows are written to the session's shared folder: the upstream
+    plan runs once, and a lost executor does not recompute it.
     """
-    if materialize:
-        ensure_checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
-    limit = _hot_rows(df, hot_rows)
+    spark = df.sparkSession
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_grp_rows"))
-    hot = sizes.filter(F.col("_grp_rows") > F.lit(limit)).select(*group)
-    w = Window.partitionBy(*group).orderBy(*order_cols)
-    check = hot
-    if bound is not None:
-        check = (bound.groupBy(*group).agg(F.count(F.lit(1)).alias("_grp_rows"))
-                 .filter(F.col("_grp_rows") > F.lit(limit)))
-    if check.limit(1).count() == 0:
-        # No hot group (a map-side combined count decides): the plain window
-        # is the whole plan, with no range sampling and no extra joins.
-        return df.withColumn(name, F.row_number().over(w))
-
-    normal = df.join(hot, _null_safe_on(df, hot, group), "left_anti")
-    numbered = normal.withColumn(name, F.row_number().over(w))
-
-    heavy = df.join(hot, _null_safe_on(df, hot, group), "left_semi")
-    parts = range_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (heavy.repartitionByRange(parts, *[F.col(g) for g in group], *order_cols)
-              .withColumn("_range_id", F.spark_partition_id()))
-    local = ranged.withColumn(
-        "_local_pos", F.row_number().over(Window.partitionBy("_range_id", *group).orderBy(*order_cols)))
-    counts = ranged.groupBy("_range_id", *group).agg(F.count(F.lit(1)).alias("_range_rows"))
-    offsets = counts.withColumn(
-        "_offset",
-        F.coalesce(F.sum("_range_rows").over(
-            Window.partitionBy(*group).orderBy("_range_id")
-            .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_range_rows")
-    joined = local.join(offsets, _null_safe_on(local, offsets, ["_range_id"] + group), "inner")
-    keep = [local[c] for c in local.columns if c not in ("_range_id", "_local_pos")]
-    heavy_numbered = joined.select(*keep, (offsets["_offset"] + local["_local_pos"]).cast("int").alias(name))
-    return numbered.unionByName(heavy_numbered)
+    parts = range_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = work_path(spark, "ranged")
+    (df.repartitionByRange(parts, *[F.col(g) for g in group], *order_cols)
+     .withColumn("_range_id", F.spark_partition_id()).write.parquet(path))
+    schema = StructType([*df.schema.fields, StructField("_range_id", IntegerType())])
+    ranged = spark.read.schema(schema).parquet(path)
+
+    keys = ["_range_id", *group]
+    local = ranged.withColumn("_local_pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_cols)))
+    counts = ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_range_rows"))
+    earlier = Window.partitionBy(*group).orderBy("_range_id").rowsBetween(Window.unboundedPreceding, -1)
+    # only ranges that are not their group's first have an offset
+    offsets = counts.withColumn("_offset", F.sum("_range_rows").over(earlier)).filter("_offset is not null").drop("_range_rows")
+    joined = local.join(offsets, _null_safe_on(local, offsets, keys), "left")
+    keep = [local[c] for c in df.columns]
+    return joined.select(*keep, (F.coalesce(offsets["_offset"], F.lit(0)) + local["_local_pos"]).cast("int").alias(name))

@@ -96,13 +96,13 @@ def sections_b(diffs: DataFrame, keys: list[str] = DIFF_KEY) -> DataFrame:
     # each with the text of its last section. A diff without repeated paths
     # (the usual case) passes through unchanged.
     secs = secs.withColumn("_s", F.expr("filter(_s, s -> s.file_path is not null)"))
-    secs = secs.withColumn("_paths", F.expr("transform(_s, s -> s.file_path)"))
-    secs = secs.withColumn("_s", F.expr("""
-      if(size(array_distinct(_paths)) = size(_paths),
-         transform(_s, (s, k) -> named_struct('file_ord', k, 'file_path', s.file_path, 'body', s.body)),
-         transform(array_distinct(_paths), (p, k) -> named_struct(
-           'file_ord', k, 'file_path', p,
-           'body', element_at(_s, cast(size(_paths) + 1 - array_position(reverse(_paths), p) as int)).body)))"""))
+    secs = secs.withColumn("_o", F.expr("sort_array(transform(_s, (s, k) -> named_struct('p', s.file_path, 'k', k)))"))
+    # sorted by (path, place): a path's first and last sections are the ends of its run
+    secs = secs.withColumn("_ends", F.expr("""sort_array(zip_with(
+        filter(_o, (x, i) -> not (get(_o, i - 1).p <=> x.p)), filter(_o, (x, i) -> not (get(_o, i + 1).p <=> x.p)),
+        (f, l) -> named_struct('first', f.k, 'last', l.k)))"""))
+    secs = secs.withColumn("_s", F.expr("""transform(_ends, (e, k) -> named_struct(
+        'file_ord', k, 'file_path', get(_s, e.last).file_path, 'body', get(_s, e.last).body))"""))
     out = secs.select(*keys, F.explode_outer("_s").alias("s")).filter(F.col("s").isNotNull())
     out = out.select(*keys, "s.*")
     return out.withColumn("text", F.array_join("body", "\n"))

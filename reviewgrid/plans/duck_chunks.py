@@ -86,10 +86,11 @@ CLOSER = r"regexp_matches(@L@, '^[ \t\f]*[)\]}]')"
 NAME = r"regexp_extract({h}, '^[ \t\f]*(?:async\s+)?(?:def|class)\s+(\w+)', 1)"
 
 TOPLEVEL = f"""
-sig as (select *, lag(line) over (partition by {SK} order by line_no) as prev_sig from cl2 where {SIG}),
-term as (select *, lead(line_no) over (partition by {SK} order by line_no) as next_term
+sig as (select * from cl2 where {SIG}),
+term as (select *, lead(line_no) over (partition by {SK} order by line_no) as next_term,
+           lag(line) over (partition by {SK} order by line_no) as prev_term
          from sig where not regexp_matches(line, '^[ \t\f]') and not {CLOSER.replace('@L@', 'line')}),
-op as (select * from term where {OPENER_TOP} and (prev_sig is null or not starts_with(prev_sig, '@'))),
+op as (select * from term where {OPENER_TOP} and (prev_term is null or not starts_with(prev_term, '@'))),
 opend as (select o.repo, o.pr_number, o.commit_sha, o.file_ord, o.file_path, o.line_no as start_line,
             cast(max(s.line_no) as int) as end_line, o.line as head
           from op o join sig s on {kj('o', 's', 'file_ord')} and s.line_no >= o.line_no

@@ -18,14 +18,8 @@ def _w(*ctes: str) -> str:
 
 
 def diffs(spark, sf_dir):
-    """The V_diffs fixture, hashed by diff key over the session's parallelism.
-
-    The fixture is built by a small join that adaptive execution coalesces
-    into a few partitions; the per-row chunking after it needs the cores. A
-    real diffs table is read directly and keeps its scan partitioning.
-    """
-    n = spark.sparkContext.defaultParallelism
-    return view(spark, sf_dir, "v_diffs").repartition(n, *K)
+    """The V_diffs fixture as the plans read it: chunking is per row and needs no exchange of its own."""
+    return view(spark, sf_dir, "v_diffs")
 
 
 def sources_a(spark, sf_dir):
@@ -191,9 +185,7 @@ def chk_dispatch(spark, sf_dir):
     f"union all select {CHUNK_OUT} from bcc", "union select repo, pr_number from bcc").replace(
     f"union all select {CHUNK_OUT} from whole", "union select repo, pr_number from whole"))
 def flt_prs_with_chunks(spark, sf_dir):
-    d = diffs(spark, sf_dir).select("repo", "pr_number", "commit_sha")
-    ch = dispatched(spark, sf_dir).select(*K)
-    return d.join(ch, K, "left_semi").select("repo", "pr_number")
+    return dispatched(spark, sf_dir).select(*K).distinct().select("repo", "pr_number")
 
 
 @query("chk_sections_b", "C2", oracle=_w(D.LINES, D.SECTIONS_B) + """

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..constants import AGENTS
+from ..functions.severity import severity_rank
 from ..operators import merge
+from ..operators.ordering import position_within
 from ..sources.fixtures import duck_with, view
 from .catalog import query
 
@@ -53,7 +55,7 @@ select {", ".join(OUT)}, seq, rank, first_seq,
 @query("mrg_prioritise", "M3", oracle=_PRIORITISE_SQL)
 def mrg_prioritise(spark, sf_dir):
     f = view(spark, sf_dir, "v_findings").drop("created_at")
-    return merge.prioritise(merge.dedup(f, order_col="seq"), materialize=False, findings=f).select(
+    return merge.prioritise(merge.dedup(f, order_col="seq")).select(
         *OUT, "seq", "rank", "first_seq", "position")
 
 
@@ -69,13 +71,30 @@ m4 as (select {", ".join(OUT)}, agent, rank,
 REVIEW_SQL = M4_CTES + "select * from m4"
 
 
-def merged_findings(spark, sf_dir, hot_rows=None):
+def merged_findings(spark, sf_dir):
     """M4 over V_findings; also the input of the report queries."""
     ordered = merge.order_findings(_with_agents(spark, sf_dir), ["item_seq"])
-    # The upstream is a projection of one table scan: cheaper to re-read than to checkpoint.
-    return merge.prioritise(merge.dedup(ordered), hot_rows=hot_rows, materialize=False, findings=ordered)
+    return merge.prioritise(merge.dedup(ordered))
 
 
 @query("mrg_review", "M4", oracle=REVIEW_SQL)
 def mrg_review(spark, sf_dir):
     return merged_findings(spark, sf_dir).select(*OUT, "agent", "rank", "position")
+
+
+HOT_SQL = duck_with("v_findings") + f"""
+, h as (select case when seq % 3 = 0 then 'org/hot' else repo end as repo, case when seq % 3 = 0 then 1 else pr_number end as pr_number,
+  seq, {RANK_SQL} as rank, case when seq % 5 = 0 then null else file_path end as file_path from v_findings)
+select repo, cast(pr_number as int) as pr_number, seq, rank, file_path,
+ cast(row_number() over (partition by repo, pr_number order by rank, file_path nulls first, seq) as int) as position from h"""
+
+
+@query("mrg_hot_pr", "M3", oracle=HOT_SQL)
+def mrg_hot_pr(spark, sf_dir):
+    """Positions where one PR holds a third of all findings and an order key is partly null."""
+    f = view(spark, sf_dir, "v_findings").drop("created_at").withColumn("rank", severity_rank("severity"))
+    hot = F.col("seq") % 3 == 0
+    f = f.select(F.when(hot, "org/hot").otherwise(F.col("repo")).alias("repo"),
+                 F.when(hot, 1).otherwise(F.col("pr_number")).cast("int").alias("pr_number"), "seq", "rank",
+                 F.when(F.col("seq") % 5 != 0, F.col("file_path")).alias("file_path"))
+    return position_within(f, ["repo", "pr_number"], ["rank", "file_path", "seq"])

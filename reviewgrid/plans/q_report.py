@@ -11,6 +11,7 @@ from ..functions.severity import severity_rank
 from ..operators import report
 from ..session import work_path
 from ..sinks import store
+from ..sources.events import accepted
 from ..sources.fixtures import duck_with, view
 from .catalog import query
 from .q_chunks import DISPATCH_BODY, DISPATCH_CTES, dispatched
@@ -135,17 +136,21 @@ def sink_summary_comments(spark, sf_dir):
     return store.write_rows(rows, work_path(spark, "summary_comments")).select("repo", "pr_number", "body")
 
 
-@query("sink_replace_stale", "K5", oracle=duck_with("v_comments") + "," + M4_CTES.strip()[len("with "):] + f"""
-, md as (select repo, pr_number, {MARKDOWN_SQL} as body from m4 group by repo, pr_number)
+@query("sink_replace_stale", "K5", oracle=duck_with("v_comments", "v_pr_events") + "," + M4_CTES.strip()[len("with "):] + f"""
+, md as (select repo, pr_number, {MARKDOWN_SQL} as body from m4 group by repo, pr_number),
+tgt as (select distinct json_extract_string(payload, '$.repository.full_name') as repo,
+  cast(json_extract(payload, '$.pull_request.number') as int) as pr_number from v_pr_events
+  where event = 'pull_request' and json_extract_string(payload, '$.action') = 'synchronize')
 select repo, pr_number, comment_id, body from v_comments c
-where not (contains(body, {_lit(DEFAULT_MARKER)}) and exists (select 1 from md where md.repo = c.repo and md.pr_number = c.pr_number))
-union all select repo, pr_number, cast(null as bigint) as comment_id, body from md""")
+where not (contains(body, {_lit(DEFAULT_MARKER)}) and exists (select 1 from tgt where tgt.repo = c.repo and tgt.pr_number = c.pr_number))
+union all select repo, pr_number, cast('0x' || substr(md5(concat_ws('/', 0, repo, pr_number, body)), 1, 15) as bigint) as comment_id, body
+from md join tgt using (repo, pr_number)""")
 def sink_replace_stale(spark, sf_dir):
-    existing = view(spark, sf_dir, "v_comments")
+    events = accepted(view(spark, sf_dir, "v_pr_events")).filter(F.col("action") == "synchronize")
+    targets = events.select("repo", "pr_number").distinct()
     md = report.summary_markdown(merged_findings(spark, sf_dir))
-    new = md.select("repo", "pr_number", F.col("markdown").alias("body"))
-    out = store.replace_stale(existing, new, DEFAULT_MARKER, work_path(spark, "comments"))
-    return out.select("repo", "pr_number", "comment_id", "body")
+    new = md.select("repo", "pr_number", F.col("markdown").alias("body")).join(targets, ["repo", "pr_number"], "left_semi")
+    return store.replace_stale(view(spark, sf_dir, "v_comments"), new, targets, DEFAULT_MARKER, work_path(spark, "comments"))
 
 
 @query("src_bot_comments", "S4", oracle=duck_with("v_comments") + f"""
@@ -155,39 +160,45 @@ def src_bot_comments(spark, sf_dir):
     return c.filter(F.col("body").contains(DEFAULT_MARKER))
 
 
-RUN_TS = dt.datetime(2024, 1, 1, 0, 0, 0)
+RUN_TS = dt.datetime(2024, 1, 1, 0, 0, 0, tzinfo=dt.timezone.utc)
+RUN_US = "epoch_us(timestamp '2024-01-01')"
+
+
+def _created():
+    return F.unix_micros("created_at").alias("created_us")
 REVIEW_OUT = ["repo", "pr_number", "seq", "severity", "category", "file_path", "line_number",
               "description", "suggested_fix"]
 
 
 @query("sink_reviews_init", "K1", oracle=duck_with("v_findings") + f"""
-select {", ".join(REVIEW_OUT)} from v_findings""")
+select {", ".join(REVIEW_OUT)}, {RUN_US} as created_us from v_findings""")
 def sink_reviews_init(spark, sf_dir):
     """Init twice around an append: the second init must not clobber rows."""
     path = work_path(spark, "reviews")
     store.init_reviews(spark, path)
     store.append_reviews(_findings(spark, sf_dir), path, RUN_TS, "run-1")
     store.init_reviews(spark, path)
-    return store.read_reviews(spark, path).select(*REVIEW_OUT)
+    return store.read_reviews(spark, path).select(*REVIEW_OUT, _created())
 
 
 @query("sink_reviews_append", "K2", oracle=duck_with("v_findings") + f"""
-select {", ".join(REVIEW_OUT)}, run_id from (select *, 'run-1' as run_id from v_findings
+select {", ".join(REVIEW_OUT)}, {RUN_US} as created_us, run_id from (select *, 'run-1' as run_id from v_findings
  union all select *, 'run-2' as run_id from v_findings) t""")
 def sink_reviews_append(spark, sf_dir):
-    """Append-only: a re-review appends again (no key on the finding)."""
+    """A re-review adds a run; writing a run twice (a replay) leaves it once."""
     path = work_path(spark, "reviews")
     store.init_reviews(spark, path)
     f = _findings(spark, sf_dir)
     store.append_reviews(f, path, RUN_TS, "run-1")
     store.append_reviews(f, path, RUN_TS, "run-2")
-    return store.read_reviews(spark, path).select(*REVIEW_OUT, "run_id")
+    store.append_reviews(f, path, RUN_TS, "run-2")
+    return store.read_reviews(spark, path).select(*REVIEW_OUT, _created(), "run_id")
 
 
 @query("src_reviews", "S6", oracle=duck_with("v_findings") + f"""
-select {", ".join(c for c in REVIEW_OUT if c != "seq")} from v_findings""")
+select {", ".join(c for c in REVIEW_OUT if c != "seq")}, {RUN_US} as created_us from v_findings""")
 def src_reviews(spark, sf_dir):
     """Stored findings as the dashboard reads them (written once, read with the fixed schema)."""
     path = work_path(spark, "reviews")
     store.append_reviews(_findings(spark, sf_dir), path, RUN_TS, "run-1")
-    return store.read_reviews(spark, path).select(*[c for c in REVIEW_OUT if c != "seq"])
+    return store.read_reviews(spark, path).select(*[c for c in REVIEW_OUT if c != "seq"], _created())

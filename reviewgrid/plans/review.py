@@ -3,7 +3,7 @@
 ``review(diffs)`` is what the batch queries, the stream (T2) and the bench
 run. Chunking and rule scoring are per row (no shuffle); the only shuffles
 are the dedup aggregation (map-side combined) and the position numbering
-per PR revision, which switches hot PRs to range partitioning.
+per PR revision, which spreads each PR over ranges.
 """
 
 from __future__ import annotations
@@ -88,7 +88,7 @@ def module_secret_findings(sources: DataFrame) -> DataFrame:
 
 
 def review(diffs: DataFrame, scorer: Callable[[str, str, str], str] | None = None,
-           hot_rows: int | None = None, concurrency: int | None = None,
+           concurrency: int | None = None,
            secrets_outside_chunks: bool = False) -> DataFrame:
     """Diffs -> prioritised, deduplicated findings per PR revision (M4 order).
 
@@ -102,5 +102,5 @@ def review(diffs: DataFrame, scorer: Callable[[str, str, str], str] | None = Non
         extra = module_secret_findings(sources)
         found = found.unionByName(extra.select(*found.columns))
     ordered = merge.order_findings(found, ["file_ord", "chunk_ord", "item_ord"])
-    ranked = merge.prioritise(merge.dedup(ordered, SCOPE), SCOPE, hot_rows)
+    ranked = merge.prioritise(merge.dedup(ordered, SCOPE), SCOPE)
     return ranked.select(*OUT)

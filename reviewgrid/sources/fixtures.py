@@ -51,7 +51,7 @@ select concat('org/r', user_id % 5) as repo, cast(user_id as int) as pr_number,
     "v_pr_events": r"""
 with b as (select event_id, ts, case when event_type = 'view' then 'push' else 'pull_request' end as event,
  concat('{"action":"', case event_id % 5 when 0 then 'opened' when 1 then 'synchronize' when 2 then 'reopened' when 3 then 'closed' else 'labeled' end,
-  '","repository":{"full_name":"org/r', user_id % 5, '"},"pull_request":{"number":', user_id, ',"head":{"sha":"', substr(sha2(cast(event_id as string),256),1,40), '"}}}') as payload from events)
+  '","repository":{"full_name":"org/r', user_id % 5, '"},"pull_request":{"number":', user_id, ',"head":{"sha":"', substr(sha2(cast(case when event_id % 4 = 3 then event_id else user_id end as string),256),1,40), '"}}}') as payload from events)
 select event_id as delivery_id, event, payload, ts as received_at,
  case when event_id % 10 = 0 then 'sha256=bad' else concat('sha256=', sha2(concat(X'OPAD', unhex(sha2(concat(X'IPAD', cast(payload as binary)),256))),256)) end as signature from b
 """.replace("OPAD", _OPAD).replace("IPAD", _IPAD),
@@ -100,7 +100,7 @@ from s a left join s b on b.doc_id = a.doc_id + 1 where a.doc_id % 2 = 0
     "v_pr_events": r"""
 with b as (select event_id, ts, case when event_type = 'view' then 'push' else 'pull_request' end as event,
  concat('{"action":"', case event_id % 5 when 0 then 'opened' when 1 then 'synchronize' when 2 then 'reopened' when 3 then 'closed' else 'labeled' end,
-  '","repository":{"full_name":"org/r', user_id % 5, '"},"pull_request":{"number":', user_id, ',"head":{"sha":"', substr(sha256(cast(event_id as varchar)),1,40), '"}}}') as payload from events)
+  '","repository":{"full_name":"org/r', user_id % 5, '"},"pull_request":{"number":', user_id, ',"head":{"sha":"', substr(sha256(cast(case when event_id % 4 = 3 then event_id else user_id end as varchar)),1,40), '"}}}') as payload from events)
 select event_id as delivery_id, event, payload, ts as received_at,
  case when event_id % 10 = 0 then 'sha256=bad' else concat('sha256=', sha256(unhex('OPAD') || unhex(sha256(unhex('IPAD') || encode(payload))))) end as signature from b
 """.replace("OPAD", _OPAD).replace("IPAD", _IPAD),

@@ -2,27 +2,37 @@
 
 * T1 ``start_intake``: files of webhook events -> verify (F2) -> keep review
   actions (F1) -> typed fields (P1) -> parquet sink (exactly-once file sink).
-* T2 ``start_review``: ``foreachBatch``: the batch's PRs -> their diffs ->
-  ``review`` -> findings written to ``<sink>/batch_id=<n>`` with overwrite, so
-  a replayed batch replaces its own output instead of appending twice.
+* T2 ``start_review``: ``foreachBatch``: the latest event of each PR -> the diff
+  of its head sha -> ``review`` -> findings, the reviews table (K2), inline
+  comments (K3) and the outcome's comment (K4, G8): the summary, or the
+  no-issues body. Every table is written under the batch's own folder with
+  overwrite, so a replayed batch replaces its own output.
 * T3 (inside T2): only the latest event per PR in a batch counts (an
-  aggregation, ``max_by``, not a window); for ``synchronize`` the PR's stale
-  summary comments are replaced (K5) in the comments table of that batch.
-* T4 ``start_quarantine``: a failing item is a row in ``review_errors``, not
-  an exception that stops the stream.
+  aggregation, ``max_by``, not a window); for ``synchronize`` the PR's earlier
+  marked comments are removed (K5), also when the new review finds nothing.
+  Comments are a log over batches (``store.current_comments``).
+* T4: a failing item is a row in ``review_errors``, not an exception that stops
+  the stream: a response that cannot be parsed (``start_quarantine``), and a PR
+  whose review fails (the batch is halved until the failing PRs are alone; the
+  others are reviewed).
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import report, reviewers as rv
-from ..plans.review import review
+from ..plans.review import SCOPE, chunk_diffs, review
+from ..sinks.store import append_reviews, post_comments
 from ..sources.events import EVENT_SCHEMA, intake
 
+EPOCH = dt.datetime(1970, 1, 1)
+
 
 def _run(writer, available_now: bool = True):
     q = writer.trigger(availableNow=True).start() if available_now else writer.start()
@@ -48,37 +58,75 @@ def latest_per_pr(events: DataFrame) -> DataFrame:
     """The last accepted event of each PR in a batch (ties by delivery id)."""
     order = F.struct("received_at", "delivery_id")
     return events.groupBy("repo", "pr_number").agg(
-        F.max_by(F.struct("delivery_id", "action", "commit_sha"), order).alias("_l")).select(
-        "repo", "pr_number", "_l.delivery_id", "_l.action", "_l.commit_sha")
-
-
-def review_batch_fn(diffs: DataFrame, sink_dir: str, secret: str, marker: str | None = None,
-                    comments: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+        F.max_by(F.struct("delivery_id", "received_at", "action", "commit_sha"), order).alias("_l")).select(
+        "repo", "pr_number", "_l.delivery_id", "_l.received_at", "_l.action", "_l.commit_sha")
+
+
+PR = ["repo", "pr_number"]
+
+
+def review_or_errors(diffs: DataFrame, events: DataFrame, work: str,
+                     review_fn: Callable[[DataFrame], DataFrame] = review) -> tuple[list[str], list[tuple]]:
+    """Review the diffs of ``events``; (paths of findings, (repo, pr_number, reason) of failing PRs).
+
+    One job in the usual case. Only if it fails are the PRs halved by a hash, and so
+    on until a failing PR is alone.
+    """
+    paths: list[str] = []
+    errors: list[tuple] = []
+    todo: list[tuple[DataFrame, int, str]] = [(events, 0, "all")]
+    while todo:
+        part, depth, name = todo.pop()
+        keys = part.select(*SCOPE)
+        try:
+            path = f"{work}/{name}"
+            review_fn(diffs.join(keys, SCOPE, "left_semi")).write.mode("overwrite").parquet(path)
+            paths.append(path)
+        except PySparkException as e:
+            rows = keys.select(*PR).limit(2).collect()
+            if len(rows) < 2:
+                errors += [(r["repo"], r["pr_number"], str(e).split("\n")[0][:500]) for r in rows]
+                continue
+            half = F.pmod(F.xxhash64(*PR, F.lit(depth)), F.lit(2))
+            todo += [(part.filter(half == k), depth + 1, f"{name}-{depth}{k}") for k in (0, 1)]
+    return paths, errors
+
+
+def review_batch_fn(diffs: DataFrame, sink_dir: str, secret: str,
+                    review_fn: Callable[[DataFrame], DataFrame] = review) -> Callable[[DataFrame, int], None]:
     """T2/T3 body for ``foreachBatch``; idempotent per batch id."""
 
     def fn(batch: DataFrame, batch_id: int) -> None:
-        events = latest_per_pr(intake(batch, secret))
-        events.write.mode("overwrite").parquet(f"{sink_dir}/latest/batch_id={batch_id}")
-        prs = events.select("repo", "pr_number")
-        todo = diffs.join(prs, ["repo", "pr_number"], "left_semi")
-        found = review(todo)
-        found.write.mode("overwrite").parquet(f"{sink_dir}/findings/batch_id={batch_id}")
-        if comments is not None and marker is not None:
-            sync = events.filter(F.col("action") == "synchronize").select("repo", "pr_number")
-            ranked = found.join(sync, ["repo", "pr_number"], "left_semi")
-            new = report.summary_markdown(ranked).select("repo", "pr_number", F.col("markdown").alias("body"))
-            from ..sinks.store import replace_stale
-            replace_stale(comments, new, marker, f"{sink_dir}/comments/batch_id={batch_id}")
+        spark = batch.sparkSession
+        at = f"batch_id={batch_id}"
+
+        def stored(df: DataFrame, table: str) -> DataFrame:
+            path = f"{sink_dir}/{table}/{at}"
+            df.write.mode("overwrite").parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+
+        events = stored(latest_per_pr(intake(batch, secret)), "latest")
+        paths, errors = review_or_errors(diffs, events, f"{sink_dir}/work/{at}", review_fn)
+        found = spark.read.parquet(*paths) if paths else review_fn(diffs.limit(0))
+        found = stored(found, "findings")
+        failed = stored(spark.createDataFrame(errors, "repo string, pr_number int, reason string"), "review_errors")
+        events = events.join(failed, PR, "left_anti")
+        when = events.agg(F.max("received_at")).first()[0] or EPOCH
+        append_reviews(found.withColumn("seq", F.col("position")), f"{sink_dir}/reviews", when, f"batch-{batch_id}")
+        stored(report.inline_comments(found, F.col("commit_sha"), PR), "inline")
+        chunked = chunk_diffs(diffs.join(events.select(*SCOPE), SCOPE, "left_semi")).select(*SCOPE).distinct()
+        outcome = stored(report.pr_outcome(events, chunked, report.summary_markdown(found, SCOPE), SCOPE), "outcome")
+        post_comments(outcome.filter(F.col("body").isNotNull()), events.filter(F.col("action") == "synchronize"),
+                      f"{sink_dir}/comments", batch_id)
 
     return fn
 
 
 def start_review(spark: SparkSession, src_dir: str, diffs: DataFrame, sink_dir: str, checkpoint: str,
-                 secret: str, marker: str | None = None, comments: DataFrame | None = None,
-                 available_now: bool = True):
+                 secret: str, available_now: bool = True, review_fn: Callable[[DataFrame], DataFrame] = review):
     """T2 (+T3): review every PR that receives an accepted event."""
     w = (event_stream(spark, src_dir).writeStream
-         .foreachBatch(review_batch_fn(diffs, sink_dir, secret, marker, comments))
+         .foreachBatch(review_batch_fn(diffs, sink_dir, secret, review_fn))
          .option("checkpointLocation", checkpoint))
     return _run(w, available_now)
 

@@ -1,23 +1,24 @@
 """Dedup / prioritise against a plain loop; properties."""
 
 import random
+from itertools import groupby
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from reviewgrid.operators import merge
+from reviewgrid.operators.ordering import position_within
 
 RANK = {"critical": 0, "high": 1, "medium": 2, "low": 3}
 
 
-def loop_merge(rows):
-    """The reference semantics as a plain loop: first key wins its position,
-    strictly better severity replaces, stable sort by rank."""
-    seen = {}
-    for r in sorted(rows, key=lambda r: r["seq"]):
-        key = (r["file_path"], r["line_number"], r["category"])
-        if key not in seen:
-            seen[key] = r
-        elif RANK.get(r["severity"], 3) < RANK.get(seen[key]["severity"], 3):
-            seen[key] = r
-    return sorted(seen.values(), key=lambda r: RANK.get(r["severity"], 3))
+def by_definition(rows):
+    """Per key the finding of least (rank, seq); keys in order of (rank, first seq of the key)."""
+    rank = lambda r: RANK.get(r["severity"], 3)
+    keyed = sorted(rows, key=lambda r: (str(r["file_path"]), str(r["line_number"]), str(r["category"])))
+    groups = [list(g) for _, g in groupby(keyed, key=lambda r: (r["file_path"], r["line_number"], r["category"]))]
+    best = [(min(g, key=lambda r: (rank(r), r["seq"])), min(r["seq"] for r in g)) for g in groups]
+    return [r for r, first in sorted(best, key=lambda x: (rank(x[0]), x[1]))]
 
 
 def make_rows(n, seed=7):
@@ -32,31 +33,35 @@ SCHEMA = ("repo string, pr_number int, seq bigint, file_path string, line_number
           "severity string, description string, suggested_fix string")
 
 
-def spark_merge(spark, rows, partitions=3, hot_rows=None, bounded=False):
+def spark_merge(spark, rows, partitions=3):
     df = spark.createDataFrame([tuple(r[c] for c in [s.split()[0] for s in SCHEMA.split(", ")]) for r in rows],
                                SCHEMA).repartition(partitions)
-    out = merge.prioritise(merge.dedup(df, order_col="seq"), hot_rows=hot_rows,
-                           findings=df if bounded else None)
-    return [r.asDict() for r in out.orderBy("position").collect()]
+    return [r.asDict() for r in merge.prioritise(merge.dedup(df, order_col="seq")).orderBy("position").collect()]
 
 
 def test_matches_plain_loop(spark):
     rows = make_rows(300)
-    expect = [r["seq"] for r in loop_merge(rows)]
+    expect = [r["seq"] for r in by_definition(rows)]
     got = [r["seq"] for r in spark_merge(spark, rows)]
     assert got == expect
 
 
-def test_independent_of_partitioning_and_hot_path(spark):
+def test_independent_of_partitioning(spark):
     rows = make_rows(200, seed=3)
-    a = spark_merge(spark, rows, partitions=1)
-    b = spark_merge(spark, rows, partitions=7)
-    c = spark_merge(spark, rows, partitions=5, hot_rows=1)   # every PR handled as a hot group
-    d = spark_merge(spark, rows, partitions=2, hot_rows=1, bounded=True)
-    e = spark_merge(spark, rows, partitions=2, bounded=True)
-    assert [r["seq"] for r in a] == [r["seq"] for r in b] == [r["seq"] for r in c] == \
-        [r["seq"] for r in d] == [r["seq"] for r in e]
-    assert [r["position"] for r in c] == list(range(1, len(c) + 1))
+    a, b = spark_merge(spark, rows, partitions=1), spark_merge(spark, rows, partitions=7)
+    assert [r["seq"] for r in a] == [r["seq"] for r in b]
+    assert [r["position"] for r in a] == list(range(1, len(a) + 1))
+
+
+def test_positions_of_a_large_group(spark):
+    """200,000 rows of one group over many ranges, partly null and tied order keys, against row_number()."""
+    df = spark.range(260_000).select(
+        F.when(F.col("id") < 200_000, "hot").when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("g"),
+        (F.xxhash64("id") % 5).alias("a"), F.when(F.col("id") % 7 > 0, F.xxhash64("id", F.lit(1))).alias("b"), "id")
+    got = position_within(df, ["g"], ["a", "b", "id"], range_partitions=40)
+    want = F.row_number().over(Window.partitionBy("g").orderBy("a", "b", "id"))
+    assert got.withColumn("want", want).filter("position != want").count() == 0
+    assert got.count() == 260_000
 
 
 def test_dedup_idempotent(spark):
