@@ -16,8 +16,8 @@ Scale. Documents are never shuffled for the search: the item windows are broadca
 while they number at most ``broadcast_windows`` (counted first), else both sides are
 shuffled by window hash. Only matched alignments are regrouped.
 
-Defined cases: null or empty texts have no window; an item shorter than ``window`` has one
-window of its own length, and below ``min_item`` tokens none; repeated rows give the pair
+Defined cases: null or empty texts have no window; an item of at most ``window`` tokens has
+windows of one token less than its own, and below ``min_item`` tokens none; repeated rows give the pair
 once; a null doc_id or item_id is kept as null; among alignments of one pair the one with
 most tokens, then the smallest position, is reported; empty tables give no pair.
 """
@@ -33,7 +33,7 @@ from .common import identity, on_identity, spill, unused
 
 WINDOW = 8
 MIN_COVER = 13
-MIN_ITEM = 4
+MIN_ITEM = 6
 BROADCAST_WINDOWS = 500_000  # 24 bytes each
 BROADCAST_ROWS = 50_000  # alignments or items, some hundred bytes each
 
@@ -96,7 +96,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_cover
     docs = identity(docs)
     items = (benchmark.select(F.col("item_id").cast("long").alias("item_id"), template(F.col("text").cast("string")).alias("it"))
              .distinct().filter(F.size("it") >= min_item)
-             .withColumn("ikey", F.xxhash64("item_id", "it")).withColumn("w", F.least(F.size("it"), F.lit(window))))
+             .withColumn("ikey", F.xxhash64("item_id", "it")).withColumn("w", F.least(F.size("it") - 1, F.lit(window))))
     lengths = sorted(r["w"] for r in items.select("w").distinct().collect())  # at most ``window`` values
     if not lengths:
         lengths = [window]
@@ -163,7 +163,7 @@ kinds AS (
          ELSE lower(x) END AS c
   FROM prev WHERE x NOT IN ('.', '!', '?')),
 seqs AS (SELECT k, list(c ORDER BY i) AS c, list(v ORDER BY i) AS v, count(*) AS n FROM kinds GROUP BY k),
-texts AS MATERIALIZED (SELECT k, side, id, c, v, n, least(n, {window}) AS w FROM seqs JOIN keyed USING (k)),
+texts AS MATERIALIZED (SELECT k, side, id, c, v, n, least(n - 1, {window}) AS w FROM seqs JOIN keyed USING (k)),
 items AS (SELECT * FROM texts WHERE side = 'i' AND n >= {min_item}),
 grams AS (
   SELECT k AS ik, w, n, j, c[j + 1:j + w] AS g FROM (SELECT *, unnest(range(0, n - w + 1)) AS j FROM items)
