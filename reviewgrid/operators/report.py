@@ -4,10 +4,13 @@ In a findings table a missing key and a null value are the same thing, so
 the renderers apply the defaults of a missing key to nulls: severity
 ``low``, category ``""``, line ``?``, description and fix ``""``.
 
-The summary markdown of a PR is one value by nature. It is assembled in
-two levels so no task ever holds a PR's findings as one list: findings are
-first concatenated in blocks of ``block_rows`` consecutive positions, then
-the ordered blocks of each PR are concatenated.
+The summary markdown of a PR is one value by nature: the task that finishes
+it holds the whole document. What it does not hold is the PR's findings one by
+one: they are rendered and concatenated in blocks of ``block_rows`` consecutive
+positions by many tasks, and only the blocks meet.
+
+Reports are per ``scope``: a PR by default, a revision of it
+(repo, pr_number, commit_sha) in the review stream.
 """
 
 from __future__ import annotations

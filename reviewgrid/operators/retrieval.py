@@ -31,6 +31,7 @@ from ..constants import GUIDELINES, TOP_K_GUIDELINES
 
 TOKEN_REGEX = "\\w+"           # ASCII word characters, as RE2 and Java agree
 DEFAULT_BLOCK_ROWS = 4096
+BLOCK_BYTES = 16 << 20  # of vectors in a block, which is one row
 
 
 def guidelines_df(spark: SparkSession) -> DataFrame:
@@ -93,7 +94,8 @@ def topk_dense(queries: DataFrame, query_key: list[str], candidates: DataFrame,
     Returns ``query_key + [rank, cand_id, distance]`` (rank 1 = nearest;
     ties broken by candidate id).
     """
-    n = candidates.count()  # a scalar: the block count, and the broadcast size check
+    n, width = candidates.agg(F.count(F.lit(1)), F.max(F.size(cand_emb))).first()  # scalars: sizes of blocks and broadcast
+    block_rows = max(1, min(block_rows, BLOCK_BYTES // (8 * max(1, width or 1))))
     blocks = max(1, math.ceil(n / block_rows))
     c = candidates.select(F.col(cand_id).alias("_cid"), F.col(cand_emb).alias("_cemb"))
     if blocks > 1:
@@ -106,8 +108,12 @@ def topk_dense(queries: DataFrame, query_key: list[str], candidates: DataFrame,
         # At most block_rows candidates: a bounded broadcast, no shuffle of the queries.
         joined = q.withColumn("_block", F.lit(0)).join(F.broadcast(packed), "_block")
     else:
+        # few block ids would gather all queries in few tasks: each block is copied under several salts
+        salts = max(1, math.ceil(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")) / blocks))
+        q = q.withColumn("_salt", F.pmod(F.xxhash64(*query_key), F.lit(salts)).cast("int"))
         q = q.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        joined = q.join(packed, "_block")
+        packed = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = q.join(packed, ["_block", "_salt"])
     best = joined.select(*query_key, F.expr(
         f"slice(sort_array(transform(_cands, c -> named_struct('distance', {_sq_l2('c._cemb', '_qemb')}, "
         f"'cid', c._cid))), 1, {k})").alias("_best"))
@@ -137,55 +143,50 @@ def _run_counts(df: DataFrame, sorted_col: str, out: str) -> DataFrame:
     return df.withColumn("_starts", starts).withColumn(out, runs).drop("_starts")
 
 
-def topk_text(df: DataFrame, key: list[str], text_col: str, k: int = TOP_K_GUIDELINES,
-              texts: list[str] | None = None) -> DataFrame:
-    """V3: the k guidelines with the highest token cosine to ``text_col``.
+def best_guides(df: DataFrame, text_col: str, k: int = TOP_K_GUIDELINES, texts: list[str] | None = None,
+                out: str = "_best") -> DataFrame:
+    """``df`` with ``out``: the k guidelines with the highest token cosine to ``text_col``,
+    array<struct<neg, g_ord, score>>, best first, ties by guideline order.
 
-    Per row: sorted tokens -> (token, count) runs -> norm; only runs whose
-    token occurs in some guideline enter the dot products, which are
-    computed against a literal array of guideline weight maps. Returns
-    ``key + [rank, g_id, g_ord, score]``; ties by guideline order.
+    All inside the row: sorted tokens -> (token, count) runs -> norm; a literal map gives
+    each run's weight in every guideline at once, and runs in none drop out.
     """
-    texts = texts if texts is not None else GUIDELINES
-    weights = _guideline_weights(texts)
+    weights = _guideline_weights(texts if texts is not None else GUIDELINES)
     vocab = sorted({w for tf, _ in weights for w in tf})
-    guides = F.array(*[
-        F.struct(F.lit(g_ord).alias("g_ord"), F.lit(float(gnorm)).alias("gnorm"),
-                 F.create_map(*[x for w, c in sorted(tf.items()) for x in (F.lit(w), F.lit(float(c)))])
-                 .alias("w"))
-        for g_ord, (tf, gnorm) in enumerate(weights)])
-    d = df.select(*key, F.sort_array(tokens(text_col)).alias("_tok"))
-    d = _run_counts(d, "_tok", "_runs").drop("_tok")
+    by_token = F.create_map(*[x for w in vocab for x in (F.lit(w), F.array(*[F.lit(float(tf.get(w, 0))) for tf, _ in weights]))])
+    d = _run_counts(df.withColumn("_tok", F.sort_array(tokens(text_col))), "_tok", "_runs").drop("_tok")
     d = d.withColumn("_dn", F.sqrt(F.aggregate(
         "_runs", F.lit(0).cast("bigint"), lambda acc, r: acc + r["n"].cast("bigint") * r["n"]).cast("double")))
-    vocab_arr = F.array(*[F.lit(w) for w in vocab])
-    d = d.withColumn("_hits", F.filter("_runs", lambda r: F.array_contains(vocab_arr, r["value"])))
-    dot = lambda g: F.aggregate(
-        "_hits", F.lit(0.0),
-        lambda acc, r: acc + r["n"].cast("double") * F.coalesce(F.try_element_at(g["w"], r["value"]), F.lit(0.0)))
-    score = lambda g: F.when((F.col("_dn") > 0) & (g["gnorm"] > 0),
-                             dot(g) / (F.col("_dn") * g["gnorm"])).otherwise(F.lit(0.0))
-    d = d.withColumn("_scores", F.transform(guides, lambda g: F.struct(
-        g["g_ord"].alias("g_ord"), score(g).alias("score"))))
-    ordered = F.transform("_scores", lambda s: F.struct((-s["score"]).alias("neg"), s["g_ord"].alias("g_ord"),
-                                                        s["score"].alias("score")))
-    best = d.select(*key, F.slice(F.sort_array(ordered), 1, k).alias("_best"))
+    d = d.withColumn("_hits", F.filter(F.transform("_runs", lambda r: F.struct(
+        r["n"].cast("double").alias("n"), F.try_element_at(by_token, r["value"]).alias("w"))), lambda h: h["w"].isNotNull()))
+    scored = []
+    for g, (_, norm) in enumerate(weights):
+        dot = F.aggregate("_hits", F.lit(0.0), lambda acc, h: acc + h["n"] * h["w"][g])  # noqa: B023 - built at once
+        score = F.when((F.col("_dn") > 0) & F.lit(norm > 0), dot / (F.col("_dn") * F.lit(float(norm)))).otherwise(F.lit(0.0))
+        scored.append(F.struct((-score).alias("neg"), F.lit(g).alias("g_ord"), score.alias("score")))
+    return d.withColumn(out, F.slice(F.sort_array(F.array(*scored)), 1, k)).drop("_runs", "_dn", "_hits")
+
+
+def topk_text(df: DataFrame, key: list[str], text_col: str, k: int = TOP_K_GUIDELINES,
+              texts: list[str] | None = None) -> DataFrame:
+    """V3: ``key + [rank, g_id, g_ord, score]`` of the k best guidelines of each text."""
+    best = best_guides(df.select(*key, text_col), text_col, k, texts)
     out = best.select(*key, F.posexplode_outer("_best").alias("_r", "_b")).filter(F.col("_b").isNotNull())
     return out.select(*key, (F.col("_r") + 1).cast("int").alias("rank"),
                       F.concat(F.lit("g"), F.col("_b.g_ord").cast("string")).alias("g_id"),
                       F.col("_b.g_ord").alias("g_ord"), F.col("_b.score").alias("score"))
 
 
-def prompts(chunks: DataFrame, key: list[str], k: int = TOP_K_GUIDELINES) -> DataFrame:
-    """The reviewer prompt of each chunk (retrieval runs once per chunk,
-    not once per reviewer)."""
-    top = topk_text(chunks, key, "content", k)
+def with_prompt(chunks: DataFrame, k: int = TOP_K_GUIDELINES) -> DataFrame:
+    """``chunks`` with ``prompt``, the text a reviewer gets (retrieval runs once per
+    chunk, inside the row, not once per reviewer)."""
     gl = F.array(*[F.lit(t) for t in GUIDELINES])
-    bullets = top.groupBy(*key).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "g_ord"))),
-                                 lambda x: F.concat(F.lit("- "), F.element_at(gl, x["g_ord"] + 1))),
-                     "\n").alias("_g"))
-    c = chunks.join(bullets, key, "left")
-    return c.select(*key, F.concat(
-        F.lit("File: "), F.col("file_path"), F.lit("\nRelevant guidelines:\n"), F.coalesce(F.col("_g"), F.lit("")),
-        F.lit("\n\nCode:\n```python\n"), F.col("content"), F.lit("\n```")).alias("prompt"))
+    bullets = F.array_join(F.transform("_best", lambda b: F.concat(F.lit("- "), F.element_at(gl, b["g_ord"] + 1))), "\n")
+    return best_guides(chunks, "content", k).withColumn("prompt", F.concat(
+        F.lit("File: "), F.col("file_path"), F.lit("\nRelevant guidelines:\n"), bullets,
+        F.lit("\n\nCode:\n```python\n"), F.col("content"), F.lit("\n```"))).drop("_best")
+
+
+def prompts(chunks: DataFrame, key: list[str], k: int = TOP_K_GUIDELINES) -> DataFrame:
+    """P13 on its own: key and prompt."""
+    return with_prompt(chunks.select(*key, *[c for c in ("file_path", "content") if c not in key]), k).select(*key, "prompt")

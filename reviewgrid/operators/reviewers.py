@@ -178,7 +178,7 @@ def fanout(chunks: DataFrame) -> DataFrame:
 RETRYABLE = ("rate_limit", "overloaded", "529")
 
 
-def call_with_retry(fn: Callable[[str, str, str], str], agent: str, file_path: str, content: str,
+def call_with_retry(fn: Callable[[str, str, str], str], agent: str, file_path: str, prompt: str,
                     attempts: int = 3, backoff: float = 1.0) -> tuple[str | None, str | None]:
     """Call ``fn``; retry rate-limit style errors with 1, 2, 4 x ``backoff`` seconds.
 
@@ -187,7 +187,7 @@ def call_with_retry(fn: Callable[[str, str, str], str], agent: str, file_path: s
     """
     for attempt in range(attempts):
         try:
-            return fn(agent, file_path, content), None
+            return fn(agent, file_path, prompt), None
         except Exception as e:  # noqa: BLE001 - the error text is the result
             msg = str(e)
             if any(r in msg.lower() for r in RETRYABLE) and attempt + 1 < attempts:
@@ -201,11 +201,12 @@ def model_calls(tasks: DataFrame, fn: Callable[[str, str, str], str], concurrenc
                 attempts: int = 3, backoff: float = 1.0) -> DataFrame:
     """A2: call a user scorer once per (chunk, reviewer) row, partition-parallel.
 
-    ``tasks`` needs ``agent``, ``file_path`` and ``content``; ``concurrency``
+    ``tasks`` needs ``agent``, ``file_path`` and ``prompt`` (P13); ``concurrency``
     bounds the number of simultaneous callers (partitions). The result adds
-    ``response`` and ``error`` columns.
+    ``response`` and ``error`` columns. It is written to the shared folder and read
+    back, so each call is made once however often the result is used.
     """
-    from ..session import ship_package
+    from ..session import ship_package, work_path
     ship_package(tasks.sparkSession)
     if concurrency:
         tasks = tasks.repartition(concurrency)
@@ -215,13 +216,15 @@ def model_calls(tasks: DataFrame, fn: Callable[[str, str, str], str], concurrenc
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             res = [call_with_retry(fn, a, p, c, attempts, backoff)
-                   for a, p, c in zip(pdf["agent"], pdf["file_path"], pdf["content"])]
+                   for a, p, c in zip(pdf["agent"], pdf["file_path"], pdf["prompt"])]
             pdf = pdf.copy()
             pdf["response"] = [r for r, _ in res]
             pdf["error"] = [e for _, e in res]
             yield pdf
 
-    return tasks.mapInPandas(run, schema)
+    path = work_path(tasks.sparkSession, "responses")
+    tasks.mapInPandas(run, schema).write.parquet(path)
+    return tasks.sparkSession.read.schema(schema).parquet(path)
 
 
 # ---- A3 / A4 / P15: strict response parsing ---------------------------------------

@@ -10,6 +10,7 @@ from ..operators.parallel import spread
 from ..sources.fixtures import duck_with, view
 from ..sources.tables import table
 from . import duck_chunks as D
+from ..operators.retrieval import with_prompt
 from .catalog import query
 from .q_chunks import DISPATCH_BODY, DISPATCH_CTES, K, dispatched, sources_a
 from .q_merge import M4_CTES
@@ -129,11 +130,12 @@ def rev_fanout(spark, sf_dir):
     return rv.fanout(dispatched(spark, sf_dir)).select(*CK.split(", "), "agent", "agent_ord")
 
 
-def offline_scorer(agent: str, file_path: str, content: str) -> str:
-    """A stand-in for a hosted model: deterministic JSON from simple cues."""
+def offline_scorer(agent: str, file_path: str, prompt: str) -> str:
+    """A stand-in for a hosted model: deterministic JSON from simple cues in the prompt's code."""
     import json
+    code = prompt.split("```python\n", 1)[1].rsplit("\n```", 1)[0]
     items = []
-    for i, line in enumerate(content.split("\n"), 1):
+    for i, line in enumerate(code.split("\n"), 1):
         if agent == "security" and "execute(" in line and '" +' in line:
             items.append({"line_number": i, "severity": "critical", "category": "security",
                           "description": "query built by concatenation", "suggested_fix": "use parameters"})
@@ -143,9 +145,24 @@ def offline_scorer(agent: str, file_path: str, content: str) -> str:
     return json.dumps(items)
 
 
-@query("rev_model_call", "A2")
+def _item_sql(severity: str, category: str, description: str, fix: str) -> str:
+    return ("'{\"line_number\": ' || line_no || ', \"severity\": \"" + severity + "\", \"category\": \"" + category
+            + "\", \"description\": \"" + description + "\", \"suggested_fix\": \"" + fix + "\"}'")
+
+
+@query("rev_model_call", "A2", oracle=DISPATCH_CTES.rstrip() + ",\nch as (" + DISPATCH_BODY + f"""),
+ln as (select {CK}, unnest(string_split(content, chr(10))) as line,
+  unnest(range(1, len(string_split(content, chr(10))) + 1)) as line_no from ch),
+it as (select {CK}, line_no, 'security' as agent, {_item_sql("critical", "security", "query built by concatenation", "use parameters")} as j
+  from ln where contains(line, 'execute(') and contains(line, '" +')
+  union all select {CK}, line_no, 'performance', {_item_sql("medium", "performance", "loop inside a block", "batch it")}
+  from ln where regexp_matches(line, '^ \\s*for ')),
+js as (select {CK}, agent, string_agg(j, ', ' order by line_no) as items from it group by all)
+select {CK}, a.agent, '[' || coalesce(items, '') || ']' as response, cast(null as varchar) as error
+from ch cross join (values ('security'), ('performance'), ('style')) a(agent)
+left join js using ({CK}, agent)""")
 def rev_model_call(spark, sf_dir):
-    tasks = rv.fanout(dispatched(spark, sf_dir))
+    tasks = rv.fanout(with_prompt(dispatched(spark, sf_dir))).select(*CK.split(", "), "file_path", "agent", "prompt")
     calls = rv.model_calls(tasks, offline_scorer, concurrency=spark.sparkContext.defaultParallelism)
     return calls.select(*CK.split(", "), "agent", "response", "error")
 

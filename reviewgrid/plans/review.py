@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import chunkers, merge, reviewers as rv, sections
+from ..operators.retrieval import with_prompt
 
 SCOPE = ["repo", "pr_number", "commit_sha"]
 CHUNK_KEY = SCOPE + ["file_ord", "chunk_ord"]
@@ -60,8 +61,9 @@ def rule_findings(chunks: DataFrame) -> DataFrame:
 
 def scorer_findings(chunks: DataFrame, scorer: Callable[[str, str, str], str],
                     concurrency: int | None = None, backoff: float = 1.0) -> DataFrame:
-    """Model-seam reviewers: A1 -> A2 -> A3 + A4 (+ P15)."""
-    calls = rv.model_calls(rv.fanout(chunks), scorer, concurrency, backoff=backoff)
+    """Model-seam reviewers: P13 -> A1 -> A2 -> A3 + A4 (+ P15); the scorer gets (agent, file path, prompt)."""
+    tasks = rv.fanout(with_prompt(chunks)).select(*CHUNK_KEY, "file_path", "agent", "prompt")
+    calls = rv.model_calls(tasks, scorer, concurrency, backoff=backoff)
     parsed = rv.parse_responses(calls).withColumn(
         "status", F.when(F.col("error").isNotNull(), F.lit("error")).otherwise(F.col("status")))
     keys = CHUNK_KEY + ["agent"]

@@ -64,9 +64,6 @@ select event_id as call_id, concat('src/f', event_id % 50, '.py') as file_path,
  case event_id % 10 when 0 then '[]' when 1 then '{}' when 2 then concat('Sure: [', event_id, ']') when 3 then '[] hello' when 4 then '{"a":1}' when 5 then '[1]' when 6 then 'null'
  when 7 then concat('[{"file_path":"x","line_number":', event_id % 40, ',"severity":"high","category":"security","description":"d","suggested_fix":"s"}]')
  when 8 then '[{"line_number":"3","severity":null},{"line_number":4,"severity":"low","category":"style"}]' else '[null]' end as response from events
-""",
-    "v_chunks_metrics": r"""
-select doc_id, regexp_count(text, '\\S+') as original_tokens, regexp_count(split_part(text, char(10), 1), '\\S+') as chunk_tokens from documents
 """,
     "v_commits": r"""
 select concat('org/r', user_id % 5) as repo, cast(user_id as int) as pr_number,
@@ -109,9 +106,6 @@ select concat('org/r', conv_id % 5) as repo, cast(conv_id as int) as pr_number,
  case when role = 'assistant' then concat('## 🤖 Automated Review', chr(10), text) else text end as body from conversations
 """,
     "v_responses": SPARK["v_responses"],
-    "v_chunks_metrics": r"""
-select doc_id, len(regexp_extract_all(text, '\S+')) as original_tokens, len(regexp_extract_all(split_part(text, chr(10), 1), '\S+')) as chunk_tokens from documents
-""",
     "v_commits": r"""
 select concat('org/r', user_id % 5) as repo, cast(user_id as int) as pr_number,
  substr(sha256(cast(event_id as varchar)),1,40) as sha, ts as committed_at from events

@@ -80,7 +80,7 @@ def test_two_rounds_leave_one_summary_and_a_clean_round_none_of_the_old(spark):
     assert {k for k in second if k[0] == 2} == {k for k in first if k[0] == 2}
     fn(events(spark, [(1, "c", "synchronize")], first=20), 2)
     third = [b for (p, _), b in now().items() if p == 1 and DEFAULT_MARKER in b]
-    assert len(third) == 1 and "No issues" in third[0]
+    assert len(third) == 1 and "Nothing to report" in third[0]
     assert all(k[1] is not None for k in now())
 
 
