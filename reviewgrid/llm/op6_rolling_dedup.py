@@ -36,7 +36,7 @@ from .common import identity
 from .kernels import U64, Chunk, Prefix, Words, chunks, cover, runs
 
 WIDTH = 13
-WINDOWS_PER_PART = 2_000_000
+WINDOWS_PER_PART = 1_000_000
 LONG = pa.int64()
 BIG = np.iinfo(np.int64).max
 
