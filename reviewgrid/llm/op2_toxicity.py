@@ -5,7 +5,7 @@ verbs, quotation marks), clause end or other. Small transducers over these class
 composed into one automaton that reads each clause once:
 
 * insult: an insult emits its learned weight; another in the same clause adds less;
-* threat: a threat verb emits only with a target within reach;
+* threat: a threat verb emits only with a target within reach, before or after it;
 * target: an insult near a target emits more, whichever comes first;
 * negation: what follows closely a negation emits less;
 * reported speech: after a report the rest of the clause emits less.
@@ -96,6 +96,7 @@ def _report(state: int, cls: int) -> tuple[int, float]:
 
 
 GRAMMAR = tuple(Transducer(f) for f in (_insult, _target, _threat, _negation, _report))
+REACHING = (_target, _threat)  # work in both directions; the others run forwards only
 
 
 @dataclass
@@ -106,6 +107,7 @@ class Automaton:
     states: dict[tuple[int, ...], int] = field(default_factory=dict)
     names: list[tuple[int, ...]] = field(default_factory=list)
     arcs: dict[tuple[int, int], tuple[int, float]] = field(default_factory=dict)
+    shares: dict[tuple[int, int], tuple[float, float]] = field(default_factory=dict)  # of an arc's factor: forward-only, reaching
 
     def __post_init__(self) -> None:
         self._number((0,) * len(self.parts))
@@ -120,24 +122,28 @@ class Automaton:
         arc = self.arcs.get((state, cls))
         if arc is None:
             moved = [t.step(s, cls) for t, s in zip(self.parts, self.names[state], strict=True)]
-            factor = 1.0
-            for _, f in moved:
+            factor, shares = 1.0, [1.0, 1.0]
+            for t, (_, f) in zip(self.parts, moved, strict=True):
                 factor *= f
+                shares[t.step in REACHING] *= f
+            self.shares[state, cls] = (shares[0], shares[1])
             arc = self.arcs[state, cls] = (self._number(tuple(s for s, _ in moved)), factor)
         return arc
 
     def clause(self, classes: list[tuple[int, float]]) -> float:
         """Emission of one clause of (class, weight): read forwards and backwards, the stronger
-        reading of each word counts, so a target may follow its insult."""
-        total = [0.0] * len(classes)
+        reading of each word counts, so a target may follow its insult or threat."""
+        total, scopes = [0.0] * len(classes), [1.0] * len(classes)
         for way in (range(len(classes)), range(len(classes) - 1, -1, -1)):
             state = 0
             for i in way:
                 cls, weight = classes[i]
-                state, factor = self.step(state, cls)
-                # scopes of negation and report run forwards only
-                if weight and (way.step > 0 or factor > 1.0):
-                    total[i] = factor * weight if way.step > 0 else max(total[i], total[i] * 1.5)
+                at, (state, _) = (state, cls), self.step(state, cls)
+                if weight:
+                    scope, reach = self.shares[at]
+                    if way.step > 0:
+                        scopes[i] = scope
+                    total[i] = max(total[i], scopes[i] * reach * weight)
         return sum(total)
 
 

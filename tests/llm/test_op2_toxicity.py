@@ -30,6 +30,15 @@ def test_clauses_decide_not_words():
     assert abs(total("blargish zorks") - 2.0) < 1e-9  # a beginning counts, a whole-word entry does not
 
 
+def test_threat_before_its_target():
+    for text in ("I will kill you", "we will hurt you", "kill you"):
+        assert abs(total(text) - 1.5 * MODEL.threat) < 1e-9, text
+    assert total("I will never kill you") < total("I will kill you")  # negated
+    assert total("she said I will kill you") < total("I will kill you")  # reported
+    assert total("I kill time and then some more for you") == 0  # out of reach
+    assert abs(total("you are a zork you") - 1.5 * 3) < 1e-9  # the stronger reading, not both
+
+
 def test_composition_equals_running_the_parts_side_by_side():
     rng = np.random.default_rng(5)
     auto = op.Automaton()
