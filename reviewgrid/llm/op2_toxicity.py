@@ -17,7 +17,8 @@ counts by the clause it stands in.
 Learning. Labels are read of at most ``sample_rows`` documents (smallest by a hash of
 doc_id; the documented bound). Their words and word beginnings are counted per label in
 Spark; beginnings whose log odds are surely high (two standard errors) form the insult
-lexicon, at most ``lexicon_size`` entries. Function-word lists below are fixed.
+lexicon, the surest ``lexicon_size`` of them. The logistic weights are fitted on the same
+documents, all of them. Function-word lists below are fixed.
 
 Defined cases: null, empty and wordless texts have no clause and get the score of a text
 without emissions; null labels and labels of unknown documents are ignored; a document
@@ -56,6 +57,7 @@ THREAT = {"kill", "hurt", "destroy", "beat", "shoot", "stab", "burn", "töten",
 ENDS = {".", "!", "?", ";", "\n"}
 
 OTHER, INSULT, THREATS, TARGETS, NEGATIONS, REPORTS = range(6)
+SURE = 1.2  # least log odds of a lexicon entry, less two standard errors
 REACH = 4  # words over which target and negation work
 
 
@@ -200,14 +202,14 @@ def signals(text: str | None, model: Model, automaton: Automaton, cache: dict[st
     return np.log1p(total), np.log1p(best), emitting / max(1, clauses), np.log1p(100 * total / max(1, words))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 30) -> np.ndarray:
-    """Weights (last: intercept) by Newton steps."""
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, l2: float = 1e-3, rounds: int = 30) -> np.ndarray:
+    """Weights (last: intercept) by Newton steps; row k counts ``n[k]`` times."""
     a = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(a.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - y) / len(y) + l2 * w
-        h = (a * (p * (1 - p))[:, None]).T @ a / len(y) + l2 * np.eye(len(w))
+        g = a.T @ (n * (p - y)) / n.sum() + l2 * w
+        h = (a * (n * p * (1 - p))[:, None]).T @ a / n.sum() + l2 * np.eye(len(w))
         w -= np.linalg.solve(h, g)
     return w
 
@@ -218,7 +220,7 @@ def lexicon_from(counts: list[tuple[str, int, int]], toxic: int, clean: int, siz
     for entry, t, c in counts:
         odds = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))
         sure = odds - 2 * np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-        if sure > 1.2:
+        if sure > SURE:
             out.append((-sure, entry))
     return {entry: -s for s, entry in sorted(out)[:size]}
 
@@ -227,8 +229,8 @@ def entries(word: str) -> list[str]:
     return [word + "$", *(word[:n] for n in range(SHORTEST, min(LONGEST, len(word)) + 1))]
 
 
-def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample_rows: int = 20_000, lexicon_size: int = 3_000,
-          fit_rows: int = 6_000) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample_rows: int = 20_000,
+          lexicon_size: int = 3_000) -> Model | None:
     """Model learned from the documents (doc_id, thash, text) that ``labels`` (doc_id, target) marks."""
     ship_package(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y")).filter(
@@ -241,35 +243,31 @@ def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample_rows
     if len(set(marks.values())) < 2:
         return None
     chosen = docs.join(F.broadcast(docs.sparkSession.createDataFrame(
-        [(k, v) for k, v in marks.items()], "doc_id long, y int")), "doc_id").select("y", "text", h.alias("h"))
+        [(k, v) for k, v in marks.items()], "doc_id long, y int")), "doc_id").select("y", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[str, list[int]] = {}
-            n = [0, 0]
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n[y] += 1
                 found = {e for w in {w.lower() for w in TOKEN.findall(text or "")} if w[0].isalpha() for e in entries(w)}
                 for e in found:
                     seen.setdefault(e, [0, 0])[y] += 1
-            keys = ["", *seen]
-            both = [n, *seen.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([b[1] for b in both], LONG),
-                                              pa.array([b[0] for b in both], LONG)], names=["entry", "t", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([b[1] for b in seen.values()], LONG),
+                                              pa.array([b[0] for b in seen.values()], LONG)], names=["entry", "t", "c"])
 
-    sums = (chosen.select("y", "text").mapInArrow(count, "entry string, t long, c long").groupBy("entry")
+    size = {r["y"]: r["count"] for r in chosen.groupBy("y").count().collect()}
+    if len(size) < 2:
+        return None
+    sums = (chosen.mapInArrow(count, "entry string, t long, c long").groupBy("entry")
             .agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
-    # few toxic texts or hardly more than clean ones: could not pass the bound below
-    sums = sums.filter("entry = '' or (t >= 3 and t * 3 > c)").orderBy(F.desc(F.expr("t - c / 8")), "entry").limit(40 * lexicon_size)
+    # the bound of lexicon_from, with room for rounding
+    sure = F.expr(f"ln((t + 0.5) / ({size[1]} + 1)) - ln((c + 0.5) / ({size[0]} + 1)) - 2 * sqrt(1 / (t + 0.5) + 1 / (c + 0.5))")
+    sums = sums.withColumn("sure", sure).filter(F.col("sure") > SURE - 1e-6).orderBy(F.desc("sure"), "entry").limit(lexicon_size)
     got = [(r["entry"], r["t"], r["c"]) for r in sums.collect()]
-    whole = next(((t, c) for e, t, c in got if e == ""), (0, 0))
-    if not whole[0] or not whole[1]:
-        return None
-    model = Model(lexicon_from([g for g in got if g[0]], *whole, lexicon_size), np.zeros(5))
-    some = chosen.orderBy("h").limit(fit_rows).select("y", "text")
-    pairs = some.mapInArrow(_signal_rows(model, 1, ["y"]), "y int, x array<double>").collect()
-    x, y = np.array([r["x"] for r in pairs]), np.array([r["y"] for r in pairs], float)
-    model.weights = _logistic(x, y)
+    model = Model(lexicon_from(got, size[1], size[0], lexicon_size), np.zeros(5))
+    pairs = chosen.mapInArrow(_signal_rows(model, 1, ["y"]), "y int, x array<double>").groupBy("y", "x").count().orderBy("y", "x").collect()
+    x, y, n = (np.array([r[k] for r in pairs], float) for k in ("x", "y", "count"))
+    model.weights = _logistic(x, y, n)
     return model
 
 

@@ -65,6 +65,19 @@ def test_held_out_accuracy(spark):
     assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 3 == 1) and 0 <= x.score <= 1 for x in some)
 
 
+def test_learns_insults_where_toxicity_is_rare(spark):
+    # 8 toxic among 8,008 texts: "common" in all toxic and 24 clean ones, "rare" in two toxic ones only
+    toxic = [f"common {'rare' if k < 2 else 'other'} word{k}" for k in range(8)]
+    clean = [f"{'common ' if k < 24 else ''}other word{k}" for k in range(8000)]
+    rows = [(k, t, k < 8) for k, t in enumerate(toxic + clean)]
+    df = identity(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"))
+    labels = spark.createDataFrame([(k, int(y)) for k, _, y in rows], "doc_id bigint, toxic int")
+    model = op.learn(df, labels)
+    assert {"common$", "rare$"} <= set(model.lexicon) and not {"other$", "word"} & set(model.lexicon)
+    by = {r.doc_id: r.score for r in op.score(df, model).collect()}
+    assert min(by[k] for k in range(8)) > max(by[k] for k in range(100, 8008))  # weights saw the toxic rows
+
+
 def test_defined_cases(spark):
     rows = [None, "", "...", "a zork", ("zork " * 3000), (3, "a zork"), (None, "zork")]
     df = identity(with_extra(docs(spark, rows)))
