@@ -1,6 +1,6 @@
 """Operator 7: language identification with a linear-chain conditional random field.
 
-Every word (run of letters) of a text gets a posterior over the learned languages
+Every word (run of letters; a run over 40 is cut into consecutive words of 40) of a text gets a posterior over the learned languages
 by forward-backward. Emission features are hashed: prefixes and suffixes of one to
 three letters, letter trigrams, the script of the first letter, and the word itself
 (the lexicon). Transition weights are learned with the emissions on sequences cut
@@ -10,8 +10,8 @@ its score is that share of its words.
 
 Training sample (bounded, documented): ``docs_per_lang`` documents of each language,
 the smallest by a hash of doc_id, and of each at most ``span_chars`` characters from
-a hashed position; languages beyond ``max_langs`` (rarest first) are not learned.
-Scoring reads every word of every text.
+a hashed position. Every language value is learned (``max_langs``, off by default,
+leaves out the rarest). Scoring reads every word of every text.
 
 Defined cases: a null text, an empty text and a text without a letter give ``und``
 with score 0; with no labelled row at all every text is ``und``; repeated rows score
@@ -28,32 +28,32 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship_package
 
 UND = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+CAP = 40  # letters of a word; a longer run is cut into consecutive words
+LETTERS = re.compile(r"[^\W\d_]{1,%d}" % CAP)
 BITS = 15
 MASK = (1 << BITS) - 1
 SEQ = 48
 BATCH_DOCS = 1024
+WIDE = 16  # languages up to which batches and caches have their full size; beyond, they shrink in proportion
 
 
-CAP = 40  # a longer run of letters counts by its first and last 20
 FIXED = 8  # features of a word besides its trigrams
 
 
 def features(words: list[str]) -> np.ndarray:
     """Hashed features of lower-case words, one padded row each (pad = ``1 << BITS``)."""
-    short = [w if len(w) <= CAP else w[:CAP // 2] + w[-CAP // 2:] for w in words]
-    size = np.fromiter(map(len, short), np.int64, len(short))
+    size = np.fromiter(map(len, words), np.int64, len(words))
     wide = int(size.max())
-    p = np.zeros((len(short), wide + 2), np.uint32)  # ^ w $
+    p = np.zeros((len(words), wide + 2), np.uint32)  # ^ w $
     p[:, 0] = 94
-    p[:, 1:-1] = np.array(short, f"<U{wide}").view(np.uint32).reshape(len(short), wide)
-    p[np.arange(len(short)), size + 1] = 36
+    p[:, 1:-1] = np.array(words, f"<U{wide}").view(np.uint32).reshape(len(words), wide)
+    p[np.arange(len(words)), size + 1] = 36
 
     def slot(seed: int, columns: list[np.ndarray]) -> np.ndarray:
         h = np.full(columns[0].shape, 2166136261 ^ seed, np.uint32)
@@ -61,8 +61,8 @@ def features(words: list[str]) -> np.ndarray:
             h = (h ^ c) * np.uint32(16777619)
         return ((h ^ (h >> np.uint32(15))) & np.uint32(MASK)).astype(np.int32)
 
-    out = np.full((len(short), FIXED + wide), 1 << BITS, np.int32)
-    rows = np.arange(len(short))
+    out = np.full((len(words), FIXED + wide), 1 << BITS, np.int32)
+    rows = np.arange(len(words))
     out[:, 0] = slot(1, [p[:, i] for i in range(1, wide + 1)])  # the word: padding is zeros
     out[:, 1] = slot(2, [p[:, 1] >> np.uint32(7)])  # script block of the first letter
     for n in (1, 2, 3):
@@ -83,12 +83,17 @@ class Model:
     transitions: np.ndarray
     start: np.ndarray
 
+    def sized(self, n: int) -> int:
+        """``n`` rows, fewer when there are many languages: what a batch holds stays the same."""
+        return max(1, n * WIDE // max(WIDE, len(self.langs)))
+
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores of lower-case words, computed in blocks of like length."""
         out = np.empty((len(words), len(self.langs)))
         order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
-        for lo in range(0, len(words), 4096):
-            at = order[lo:lo + 4096]
+        step = self.sized(4096)
+        for lo in range(0, len(words), step):
+            at = order[lo:lo + step]
             out[at] = self.weights[features([words[i] for i in at])].sum(axis=1)
         return out
 
@@ -143,13 +148,14 @@ def fit(samples: list[tuple[str, str]], epochs: int = 3, rate: float = 0.3, seed
         return None
     rng = np.random.default_rng(seed)
     ids: dict[str, int] = {}
+    place = {lang: c for c, lang in enumerate(langs)}
     pieces = []  # spans of one language, of 3 to SEQ words
     for lang, text in samples:
         words = np.fromiter((ids.setdefault(w, len(ids)) for w in LETTERS.findall(text.lower())), np.int64)
         at = 0
         while at < len(words):
             size = int(rng.integers(3, SEQ))
-            pieces.append((langs.index(lang), words[at:at + size]))
+            pieces.append((place[lang], words[at:at + size]))
             at += size
     k = len(langs)
     model = Model(langs, np.zeros(((1 << BITS) + 1, k), np.float32), np.zeros((k, k)), np.zeros(k))
@@ -166,7 +172,8 @@ def fit(samples: list[tuple[str, str]], epochs: int = 3, rate: float = 0.3, seed
             w, y = words[lo:lo + step], tags[lo:lo + step]
             first = np.unique(np.append(np.arange(0, len(w), SEQ), len(w)))
             used, back = np.unique(w, return_inverse=True)
-            emit = model.weights[feats[used]].sum(axis=1).astype(float)[back]
+            part = model.sized(4096)
+            emit = np.concatenate([model.weights[feats[used[i:i + part]]].sum(axis=1) for i in range(0, len(used), part)]).astype(float)[back]
             post = posteriors(emit, first, model)
             diff = post.copy()
             diff[np.arange(len(y)), y] -= 1
@@ -178,9 +185,10 @@ def fit(samples: list[tuple[str, str]], epochs: int = 3, rate: float = 0.3, seed
             inner = np.ones(len(w), bool)
             inner[first[:-1]] = False
             at = np.flatnonzero(inner)
-            joint = (post[at - 1][:, :, None] * np.exp(model.transitions)[None]
-                     * np.exp(emit[at] - emit[at].max(axis=1, keepdims=True))[:, None, :])
-            pair = (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            # sum over words of post[i - 1] x transitions x e[i], each scaled to 1, without the array words x langs x langs
+            moves, e = np.exp(model.transitions), np.exp(emit[at] - emit[at].max(axis=1, keepdims=True))
+            scale = ((post[at - 1] @ moves) * e).sum(axis=1, keepdims=True)
+            pair = moves * ((post[at - 1] / scale).T @ e)
             np.add.at(pair, (y[at - 1], y[at]), -1.0)
             for p, g, a in zip((model.weights, model.transitions, model.start),
                                (grad / len(w), pair / len(w), diff[first[:-1]].sum(axis=0) / len(w)), acc, strict=True):
@@ -189,24 +197,27 @@ def fit(samples: list[tuple[str, str]], epochs: int = 3, rate: float = 0.3, seed
     return model
 
 
-def training_rows(docs: DataFrame, docs_per_lang: int, span_chars: int, max_langs: int) -> list[tuple[str, str]]:
-    """The bounded training sample (see the module notes)."""
+def training_rows(docs: DataFrame, docs_per_lang: int, span_chars: int, max_langs: int | None = None) -> list[tuple[str, str]]:
+    """The bounded training sample (see the module notes), in one pass for all languages."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
                         & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    counts = [(r["lang"], r["count"]) for r in (sizes.limit(max_langs) if max_langs else sizes).collect()]
+    if not counts:
+        return []
     h = F.xxhash64(F.col("doc_id"))
     at = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.greatest(F.length("text") - span_chars, F.lit(1))) + 1
-    rows: list[tuple[str, str]] = []
-    for lang in sorted(counts):
-        # the hash range that holds about four times as many rows as are wanted, so tasks send few
-        limit = int(min(1.0, 4 * docs_per_lang / counts[lang] + 1e-9) * 2**64) - 2**63
-        span = F.col("text").substr(at.cast("int"), F.lit(span_chars))
-        rows += [(lang, r["t"]) for r in known.filter((F.col("lang") == lang) & (h <= min(limit, 2**63 - 1)))
-                 .select(h.alias("h"), span.alias("t")).orderBy("h", "t").limit(docs_per_lang).collect()]
-    return rows
+    # per language the hash range that holds about four times as many rows as are wanted, so tasks send few
+    caps = [(lang, min(int(min(1.0, 4 * docs_per_lang / n + 1e-9) * 2**64) - 2**63, 2**63 - 1)) for lang, n in counts]
+    cap = docs.sparkSession.createDataFrame(caps, "lang string, cap long")
+    spans = known.join(F.broadcast(cap), "lang").filter(h <= F.col("cap")).select(
+        "lang", h.alias("h"), F.col("text").substr(at.cast("int"), F.lit(span_chars)).alias("t"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
+    rows = spans.withColumn("k", first).filter(F.col("k") <= docs_per_lang).collect()
+    return [(r["lang"], r["t"]) for r in sorted(rows, key=lambda r: (r["lang"], r["k"]))]
 
 
-def learn(docs: DataFrame, docs_per_lang: int = 250, span_chars: int = 1500, max_langs: int = 64) -> Model | None:
+def learn(docs: DataFrame, docs_per_lang: int = 250, span_chars: int = 1500, max_langs: int | None = None) -> Model | None:
     """Model learned from rows with a language whose crc32(doc_id) mod 5 is not 0."""
     return fit(training_rows(docs, docs_per_lang, span_chars, max_langs))
 
@@ -221,7 +232,7 @@ def _labelled(model: Model | None, texts: list[str | None], cache: dict[str, np.
     if not words:
         return np.zeros((0, 1)), np.asarray(first)
     ids, uniq = pd.factorize(np.array(words, object))
-    if len(cache) > 200_000:  # only a cache: words are scored anew when it is emptied
+    if len(cache) > model.sized(200_000):  # only a cache: words are scored anew when it is emptied
         cache.clear()
     missing = [w for w in uniq if w not in cache]
     if missing:
@@ -236,13 +247,14 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     ``docs`` needs doc_id, thash and text (see ``common.identity``).
     """
     ship_package(docs.sparkSession)
+    size = model.sized(BATCH_DOCS) if model else BATCH_DOCS
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, np.ndarray] = {}
         for batch in batches:
             col = batch.column(2)
-            for lo in range(0, len(col), BATCH_DOCS):
-                texts = col.slice(lo, BATCH_DOCS).to_pylist()
+            for lo in range(0, len(col), size):
+                texts = col.slice(lo, size).to_pylist()
                 post, first = _labelled(model, texts, cache)
                 langs, scores = [], []
                 for k in range(len(texts)):
@@ -256,7 +268,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                         langs.append(UND)
                         scores.append(0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, BATCH_DOCS), batch.column(1).slice(lo, BATCH_DOCS),
+                    [batch.column(0).slice(lo, size), batch.column(1).slice(lo, size),
                      pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(np.diff(first), pa.int64())],
                     names=["doc_id", "thash", "lang_pred", "score", "n_words"])
 
@@ -296,12 +308,13 @@ def identified(docs: DataFrame, model: Model | None, min_score: float = 0.3) ->
     texts that are ``und`` go."""
     ship_package(docs.sparkSession)
     at = docs.columns.index("text")
+    size = model.sized(BATCH_DOCS) if model else BATCH_DOCS
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lo in range(0, batch.num_rows, BATCH_DOCS):
-                part = batch.slice(lo, BATCH_DOCS)
+            for lo in range(0, batch.num_rows, size):
+                part = batch.slice(lo, size)
                 post, first = _labelled(model, part.column(at).to_pylist(), cache)
                 best = [len(p) > 0 and p.mean(axis=0).max() >= min_score for p in (post[a:b] for a, b in zip(first, first[1:], strict=False))]
                 yield part.filter(pa.array(best, pa.bool_()))

@@ -77,3 +77,23 @@ def test_learning_sees_no_held_out_row(spark):
     rows = [(i, f"word{i}", "aa" if i % 2 else None) for i in range(60)]
     texts = {t for _, t in op.training_rows(docs(spark, rows), 100, 50, 5)}
     assert texts == {f"word{i}" for i, _, lang in rows if lang and zlib.crc32(str(i).encode()) % 5}
+
+
+def test_every_language_value_is_learned(spark):
+    # 70 languages, the last one with the fewest rows
+    word = lambda k, j: chr(97 + k // 26) * 2 + chr(97 + k % 26) * 2 + "aeiou"[j % 5] + "rst"[j % 3]
+    rows = [(100 * k + i, " ".join(word(k, i + j) for j in range(30)), f"l{k:02}") for k in range(70) for i in range(12 if k < 69 else 8)]
+    df = docs(spark, rows)
+    model = op.learn(df)
+    assert len(model.langs) == 70
+    got = op.predict(identity(df), model).collect()
+    assert all(r.lang_pred == f"l{r.doc_id // 100:02}" for r in got if r.doc_id >= 6900)
+    assert np.mean([r.lang_pred == f"l{r.doc_id // 100:02}" for r in got]) > 0.95
+
+
+def test_long_runs_are_read_whole(spark):
+    m = tiny()
+    middle = "bada" * 5 + "silo" * 100 + "bada" * 5  # both ends say aa, the text is bb
+    assert op.predict(identity(docs(spark, [middle])), m).collect()[0].lang_pred == "bb"
+    runs = op.label_words(identity(docs(spark, [middle])), m).collect()
+    assert runs[0].start == 0 and runs[-1].end == len(middle) and any(r.lang == "bb" for r in runs)
