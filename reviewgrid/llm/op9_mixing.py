@@ -9,7 +9,8 @@ subtrees, a shortage is made good by siblings before it reaches an ancestor.
 
 A leaf's budget covers E whole epochs and a rest. Its documents come E times, and of
 epoch E+1 the prefix, in the seeded order of that epoch, that makes up the rest; the last
-document of the prefix gives only ``take_tokens`` of its words. Tokens are words
+document of the prefix gives only ``take_tokens`` of its words: where text is kept it
+ends after them, and ``n_chars``, if kept, follows. Tokens are words
 ``[^\\x20\\x09-\\x0D]+``.
 
 Scale. Leaf totals are combined before the shuffle. The running sum over a leaf is split
@@ -92,6 +93,20 @@ def leaf_budgets(leaves: DataFrame, total: float, max_epochs: int, domain_weight
                         (want - epochs * F.col("tokens")).alias("rest"))
 
 
+def _taken(docs: DataFrame, keep: list[str]) -> Column:
+    """The kept columns ``row``; a text of more words than ``take`` ends after these, ``n_chars`` is brought up to date."""
+    at = {c.lower(): c for c in keep}
+    row = F.col("row")
+    if "text" not in at:
+        return row
+    pieces = F.regexp_extract_all(row[at["text"]].cast("string"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    text = F.array_join(F.slice(pieces, F.lit(1), F.col("take").cast("int")), "")
+    out = row.withField(at["text"], text.cast(docs.schema[at["text"]].dataType))
+    if "n_chars" in at:
+        out = out.withField(at["n_chars"], F.length(text).cast(docs.schema[at["n_chars"]].dataType))
+    return F.when(F.col("take") < F.col("tokens"), out).otherwise(row)
+
+
 def mix(docs: DataFrame, fraction: float = FRACTION, max_epochs: int = MAX_EPOCHS, seed: int = SEED,
         domains: dict[str, list[str]] = DOMAINS, domain_weights: dict[str, float] = DOMAIN_WEIGHTS,
         lang_weights: dict[str, float] = LANG_WEIGHTS, source_weights: dict[str, float] | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -125,6 +140,7 @@ def mix(docs: DataFrame, fraction: float = FRACTION, max_epochs: int = MAX_EPOCH
     order = Window.partitionBy(*TREE, "bucket").orderBy("key", "id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("at", F.col("base") + F.coalesce(F.sum("tokens").over(order), F.lit(0))).filter("at < rest")
     part = part.withColumn("take", F.least("tokens", F.col("rest") - F.col("at")))
+    part = part.withColumn("row", _taken(docs, keep))
     cols = ["row", "domain", "epoch", "tokens", "take"]
     out = whole.select(*cols).union(part.select(*cols))
     named = [F.col("row")[c].alias(c) for c in keep]

@@ -3,7 +3,7 @@
 import random
 
 import duckdb
-from corpus_helpers import docs, with_extra
+from corpus_helpers import docs, with_extra, words
 from pyspark.sql import functions as F
 
 from reviewgrid.llm import op9_mixing as op
@@ -58,3 +58,13 @@ def test_columns_pass_through_and_empty_table(spark):
     assert got.columns[:len(df.columns)] == df.columns and "_take_tokens" in got.columns
     assert {r.take_tokens for r in got.collect()} == {"mine"}
     assert op.mix(df.limit(0)).collect() == []
+
+
+def test_text_ends_after_the_words_taken(spark):
+    rows = [(k, f"  a{k}\tb\n" + f"w{k} x " * 50 + " ", "en", "src1") for k in range(3)]
+    got = op.mix(docs(spark, rows), fraction=0.5).collect()
+    assert sum(len(words(r.text)) for r in got) == 3 * 102 // 2
+    assert all(len(words(r.text)) == r.take_tokens and r.n_chars == len(r.text) for r in got)
+    whole = {k: t for k, t, *_ in rows}
+    assert all(whole[r.doc_id].startswith(r.text) for r in got) and any(r.take_tokens < r.n_tokens for r in got)
+    assert all(r.text == whole[r.doc_id] for r in got if r.take_tokens == r.n_tokens)
