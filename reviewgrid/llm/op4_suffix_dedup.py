@@ -334,6 +334,12 @@ def _cut(listed: bool, with_text: bool):
     return run
 
 
+def span_lists(spans: DataFrame) -> DataFrame:
+    """doc_id, thash and the arrays ``s``, ``e`` of distinct spans: repeated rows bring each of theirs many times."""
+    sets = spans.groupBy("doc_id", "thash").agg(F.collect_set(F.struct("s", "e")).alias("p"))
+    return sets.select("doc_id", "thash", "p.s", "p.e")
+
+
 def remove(docs: DataFrame, spans: DataFrame, with_text: bool = True) -> DataFrame:
     """Per row of ``docs``: doc_id, thash, n_bytes, n_removed, n_spans, kept_sha256 and (with_text) ``kept``.
 
@@ -342,7 +348,7 @@ def remove(docs: DataFrame, spans: DataFrame, with_text: bool = True) -> DataFra
     finished where they are read; only the others are shuffled to meet their spans.
     """
     docs = identity(docs)
-    lists = spill(spans.groupBy("doc_id", "thash").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e")), "removals")
+    lists = spill(span_lists(spans), "removals")
     some, none = split(docs, KeyFilter(lists.select(F.xxhash64("doc_id", "thash"))))
     joined = some.alias("d").join(lists.alias("l"), null_safe(some, lists, ["doc_id", "thash"]), "left").select(
         "d.doc_id", "d.thash", "d.text", "l.s", "l.e")
@@ -356,8 +362,7 @@ def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Rows of which nothing but white space is left are dropped; rows that had nothing else
     to begin with, and all other columns, stay as they are.
     """
-    lists = spill(repeats(docs, length).groupBy("doc_id", "thash").agg(
-        F.collect_list("s").alias("s"), F.collect_list("e").alias("e")), "removals")
+    lists = spill(span_lists(repeats(docs, length)), "removals")
     some, none = split(docs, KeyFilter(lists.select(F.xxhash64("doc_id", "thash"))))
     names = [unused(docs, f"cut_{k}") for k in ("doc", "hash", "s", "e")]
     lists = lists.toDF(*names)

@@ -79,3 +79,12 @@ def test_empty_table(spark):
     df = docs(spark, [(0, "x")]).limit(0)
     assert cut(df, 200) == []
     assert op.strip(df).collect() == []
+
+
+def test_spans_of_repeated_rows_are_kept_once(spark):
+    text = "".join(chr(97 + k * k % 23) for k in range(300))
+    for row in ((7, text), (None, text)):
+        one = op.span_lists(op.repeats(docs(spark, [row] * 2), 50)).collect()
+        many = op.span_lists(op.repeats(docs(spark, [row] * 40), 50)).collect()
+        assert len(one) == len(many) == 1 and sorted(zip(one[0].s, one[0].e, strict=True)) == sorted(zip(many[0].s, many[0].e, strict=True))
+        assert len(set(zip(many[0].s, many[0].e, strict=True))) == len(many[0].s)
