@@ -16,30 +16,36 @@ leaves out the rarest). Scoring reads every word of every text.
 Defined cases: a null text, an empty text and a text without a letter give ``und``
 with score 0; with no labelled row at all every text is ``und``; repeated rows score
 alike; ties go to the language that sorts first; a null doc_id is scored and, having
-no remainder, is neither learned from nor held out (``held_out`` false).
+no remainder, is neither learned from nor held out (``held_out`` false); a very long text
+(over ``PIECE_CHARS`` characters) is read whole, in segments that pass on their messages, so
+memory follows the segment and not the text; further columns, whatever their names, are ignored
+(``identified`` returns them as they came).
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship_package
+from .common import KeyFilter, identity, on_identity, ship_package, spill, split
 
 UND = "und"
 CAP = 40  # letters of a word; a longer run is cut into consecutive words
-LETTERS = re.compile(r"[^\W\d_]{1,%d}" % CAP)
+LETTERS = regex.compile(r"\p{L}{1,%d}" % CAP)
 BITS = 15
 MASK = (1 << BITS) - 1
 SEQ = 48
-BATCH_DOCS = 1024
+SLICE_DOCS = 1024  # texts that are Python strings at a time
+PIECE_CHARS = 1 << 18  # texts labelled together; a longer one is labelled in segments
+SEGMENT_WORDS = 20_000
+CACHE_WORDS = 50_000
 WIDE = 16  # languages up to which batches and caches have their full size; beyond, they shrink in proportion
 
 
@@ -58,12 +64,12 @@ def features(words: list[str]) -> np.ndarray:
     def slot(seed: int, columns: list[np.ndarray]) -> np.ndarray:
         h = np.full(columns[0].shape, 2166136261 ^ seed, np.uint32)
         for c in columns:
-            h = (h ^ c) * np.uint32(16777619)
+            h = np.where(c, (h ^ c) * np.uint32(16777619), h)  # padding leaves no trace: a word hashes alike in any block
         return ((h ^ (h >> np.uint32(15))) & np.uint32(MASK)).astype(np.int32)
 
     out = np.full((len(words), FIXED + wide), 1 << BITS, np.int32)
     rows = np.arange(len(words))
-    out[:, 0] = slot(1, [p[:, i] for i in range(1, wide + 1)])  # the word: padding is zeros
+    out[:, 0] = slot(1, [p[:, i] for i in range(1, wide + 2)])  # the word with its end mark
     out[:, 1] = slot(2, [p[:, 1] >> np.uint32(7)])  # script block of the first letter
     for n in (1, 2, 3):
         fits = size >= n
@@ -222,6 +228,17 @@ def learn(docs: DataFrame, docs_per_lang: int = 250, span_chars: int = 1500, max
     return fit(training_rows(docs, docs_per_lang, span_chars, max_langs))
 
 
+def _cached(model: Model, words: list[str], cache: dict[str, np.ndarray]) -> np.ndarray:
+    """Emission scores of the words; ``cache`` is only a cache, emptied when full."""
+    ids, uniq = pd.factorize(np.array(words, object))
+    if len(cache) > model.sized(CACHE_WORDS):
+        cache.clear()
+    missing = [w for w in uniq if w not in cache]
+    if missing:
+        cache.update(zip(missing, model.emissions(missing), strict=True))
+    return np.array([cache[w] for w in uniq])[ids]
+
+
 def _labelled(model: Model | None, texts: list[str | None], cache: dict[str, np.ndarray]):
     """Per text: its word matches' posteriors (None without a model or a letter)."""
     words, first = [], [0]
@@ -231,14 +248,67 @@ def _labelled(model: Model | None, texts: list[str | None], cache: dict[str, np.
         first.append(len(words))
     if not words:
         return np.zeros((0, 1)), np.asarray(first)
-    ids, uniq = pd.factorize(np.array(words, object))
-    if len(cache) > model.sized(200_000):  # only a cache: words are scored anew when it is emptied
-        cache.clear()
-    missing = [w for w in uniq if w not in cache]
-    if missing:
-        cache.update(zip(missing, model.emissions(missing), strict=True))
-    table = np.array([cache[w] for w in uniq])
-    return posteriors(table[ids], np.asarray(first), model), np.asarray(first)
+    return posteriors(_cached(model, words, cache), np.asarray(first), model), np.asarray(first)
+
+
+def _segments(model: Model, text: str, cache: dict[str, np.ndarray], size: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """A long text in segments of ``size`` words, last one first: (from, to, posteriors).
+
+    ``text`` is lower-case. The forward message entering each segment is kept from a first
+    pass, the backward message is carried along, so the posteriors are those of the whole
+    sequence while only one segment's arrays exist at a time.
+    """
+    starts = [m.start() for k, m in enumerate(LETTERS.finditer(text)) if k % size == 0]
+    ends = [*starts[1:], len(text)]
+    t = np.exp(model.transitions - model.transitions.max())
+    enter = [np.exp(model.start - model.start.max())]
+    for lo, hi in zip(starts[:-1], ends[:-1], strict=True):
+        e = _scaled(_cached(model, LETTERS.findall(text, lo, hi), cache))
+        a = enter[-1]
+        for row in e:
+            a = (a * row) @ t
+            a /= a.sum()
+        enter.append(a)
+    leave = np.ones(len(model.langs))
+    for lo, hi, begin in reversed(list(zip(starts, ends, enter, strict=True))):
+        e = _scaled(_cached(model, LETTERS.findall(text, lo, hi), cache))
+        alpha, beta = np.empty_like(e), np.empty_like(e)
+        a = begin
+        for i, row in enumerate(e):
+            alpha[i] = a * row
+            a = alpha[i] @ t
+            a /= a.sum()
+        for i in range(len(e) - 1, -1, -1):
+            beta[i] = leave
+            leave = t @ (e[i] * leave)
+            leave /= leave.sum()
+        alpha *= beta
+        yield lo, hi, alpha / np.maximum(alpha.sum(axis=1, keepdims=True), 1e-300)
+
+
+def _scaled(emit: np.ndarray) -> np.ndarray:
+    return np.exp(emit - emit.max(axis=1, keepdims=True))
+
+
+def _shares(model: Model | None, texts: list[str | None], cache: dict[str, np.ndarray], piece: int = PIECE_CHARS) -> Iterator[tuple[int, np.ndarray]]:
+    """(words, summed posteriors) of each text. Texts are worked through in pieces of at most
+    ``piece`` characters; a longer one goes by itself, in segments."""
+    lo = 0
+    while lo < len(texts):
+        hi, room = lo, piece
+        while hi < len(texts) and (room := room - len(texts[hi] or "")) >= 0:
+            hi += 1
+        if hi > lo:
+            post, first = _labelled(model, texts[lo:hi], cache)
+            for a, b in zip(first, first[1:], strict=False):
+                yield int(b - a), post[a:b].sum(axis=0)
+        else:
+            hi, n, total = lo + 1, 0, 0.0
+            if model is not None:
+                for _, _, post in _segments(model, texts[lo].lower(), cache, model.sized(SEGMENT_WORDS)):
+                    n, total = n + len(post), total + post.sum(axis=0)
+            yield n, total
+        lo = hi
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -247,29 +317,19 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     ``docs`` needs doc_id, thash and text (see ``common.identity``).
     """
     ship_package(docs.sparkSession)
-    size = model.sized(BATCH_DOCS) if model else BATCH_DOCS
-
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, np.ndarray] = {}
         for batch in batches:
-            col = batch.column(2)
-            for lo in range(0, len(col), size):
-                texts = col.slice(lo, size).to_pylist()
-                post, first = _labelled(model, texts, cache)
-                langs, scores = [], []
-                for k in range(len(texts)):
-                    p = post[first[k]:first[k + 1]]
-                    if len(p):
-                        share = p.mean(axis=0)
-                        best = int(share.argmax())
-                        langs.append(model.langs[best])
-                        scores.append(min(1.0, float(share[best])))
-                    else:
-                        langs.append(UND)
-                        scores.append(0.0)
+            for lo in range(0, batch.num_rows, SLICE_DOCS):
+                part = batch.slice(lo, SLICE_DOCS)
+                langs, scores, sizes = [], [], []
+                for n, total in _shares(model, part.column(2).to_pylist(), cache):
+                    best = int(total.argmax()) if n else 0
+                    langs.append(model.langs[best] if n else UND)
+                    scores.append(min(1.0, float(total[best]) / n) if n else 0.0)
+                    sizes.append(n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, size), batch.column(1).slice(lo, size),
-                     pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(np.diff(first), pa.int64())],
+                    [part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())],
                     names=["doc_id", "thash", "lang_pred", "score", "n_words"])
 
     return docs.select("doc_id", "thash", "text").mapInArrow(
@@ -285,16 +345,16 @@ def label_words(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for doc, th, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                post, _ = _labelled(model, [text], cache)
-                last = None
-                if len(post):
-                    # labels follow the lower-cased text, whose length can differ from the original's
-                    for m, lab in zip(LETTERS.finditer(text.lower()), post.argmax(axis=1), strict=True):
+                lower, last, mine = (text or "").lower(), None, []
+                # labels follow the lower-cased text, whose length can differ from the original's
+                for lo, hi, post in (_segments(model, lower, cache, model.sized(SEGMENT_WORDS)) if model and lower else ()):
+                    for m, lab in zip(reversed(list(LETTERS.finditer(lower, lo, hi))), post.argmax(axis=1)[::-1], strict=True):
                         if last and last[5] == model.langs[lab]:
-                            last[3], last[4] = m.end(), last[4] + 1
+                            last[2], last[4] = m.start(), last[4] + 1
                         else:
                             last = [doc, th, m.start(), m.end(), 1, model.langs[lab]]
-                            out.append(last)
+                            mine.append(last)
+                out += reversed(mine)
             cols = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 5 + [pa.string()], strict=True)],
                                              names=["doc_id", "thash", "start", "end", "words", "lang"])
@@ -306,17 +366,9 @@ def label_words(docs: DataFrame, model: Model | None) -> DataFrame:
 def identified(docs: DataFrame, model: Model | None, min_score: float = 0.3) -> DataFrame:
     """Rows of ``docs``, all columns, whose language is identified with at least ``min_score``;
     texts that are ``und`` go."""
-    ship_package(docs.sparkSession)
-    at = docs.columns.index("text")
-    size = model.sized(BATCH_DOCS) if model else BATCH_DOCS
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for lo in range(0, batch.num_rows, size):
-                part = batch.slice(lo, size)
-                post, first = _labelled(model, part.column(at).to_pylist(), cache)
-                best = [len(p) > 0 and p.mean(axis=0).max() >= min_score for p in (post[a:b] for a, b in zip(first, first[1:], strict=False))]
-                yield part.filter(pa.array(best, pa.bool_()))
-
-    return docs.mapInArrow(keep, docs.schema)
+    kept_ids = predict(identity(docs), model)
+    gone = spill(kept_ids.filter((F.col("lang_pred") == UND) | (F.col("score") < min_score)).select(
+        F.xxhash64("doc_id", "thash").alias("gone_key"), F.col("doc_id").alias("gone_doc"), F.col("thash").alias("gone_hash")).distinct(), "unidentified")
+    # only rows that may be among the rejected ones are joined; texts never come back out of Python
+    maybe, sure = split(docs, KeyFilter(gone.select("gone_key")))
+    return sure.unionByName(maybe.join(gone, on_identity(maybe, gone, "gone_doc", "gone_hash"), "left_anti"))

@@ -25,7 +25,7 @@ def test_clauses_decide_not_words():
     assert total("he is not a zork") < plain  # negated
     assert total("she said he is a zork") < plain  # reported
     assert abs(total("she said it. he is a zork") - plain) < 1e-9  # the report ends with its clause
-    assert total("they kill time") == 0 and total("I kill you") == 0 and total("you I kill") > 0  # threat needs its target
+    assert total("they kill time") == 0 and total("I kill you") > 0 and total("you I kill") > 0  # threat needs its target
     assert total("zork zork zork") < 3 * plain  # later insults of a clause add less
     assert abs(total("blargish zorks") - 2.0) < 1e-9  # a beginning counts, a whole-word entry does not
 

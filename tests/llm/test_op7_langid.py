@@ -97,3 +97,36 @@ def test_long_runs_are_read_whole(spark):
     assert op.predict(identity(docs(spark, [middle])), m).collect()[0].lang_pred == "bb"
     runs = op.label_words(identity(docs(spark, [middle])), m).collect()
     assert runs[0].start == 0 and runs[-1].end == len(middle) and any(r.lang == "bb" for r in runs)
+
+
+def test_segments_equal_the_whole(spark):
+    m = tiny()
+    text = " ".join(np.random.default_rng(5).choice(["bada", "silo", "gaba", "miso", "loda"], 5000)) + "x" * 300
+    whole, _ = op._labelled(m, [text], {})
+    parts = list(op._segments(m, text, {}, 700))[::-1]
+    assert np.allclose(np.concatenate([p for _, _, p in parts]), whole)
+    assert [lo for lo, _, _ in parts][1:] == [hi for _, hi, _ in parts][:-1]
+    sums = list(op._shares(m, ["bada", None, text, "silo misi", "12", text], {}, 100))
+    assert [n for n, _ in sums] == [1, 0, len(whole), 2, 0, len(whole)]
+    assert np.allclose(sums[2][1], whole.sum(axis=0)) and np.allclose(sums[5][1], sums[2][1])
+
+
+def test_only_letters_count(spark):
+    rows = ["² ½ Ⅷ ٣", "²bada²", "\u0301"]
+    got = sorted(op.predict(identity(docs(spark, rows)), tiny()).collect())
+    assert [(r.lang_pred, r.n_words) for r in got] == [("und", 0), ("aa", 1), ("und", 0)]
+
+
+def test_many_long_texts_in_little_memory(spark):
+    import resource
+    m = tiny()
+    texts = ["bada silo gaba miso " * 5000] * 300  # 20,000 words each
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert [n for n, _ in op._shares(m, texts, {})] == [20_000] * 300
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300 * 1024  # KB
+
+
+def test_very_long_text(spark):
+    text = "bada dada gaba " * 150_000  # 2.2 MB
+    got = op.predict(identity(docs(spark, [text, "silo"])), tiny()).collect()
+    assert {(r.doc_id, r.lang_pred, r.n_words) for r in got} == {(0, "aa", 450_000), (1, "bb", 1)}
