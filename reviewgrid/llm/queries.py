@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (op1_ngram_join, op2_toxicity, op3_decontaminate, op4_suffix_dedup, op5_quality_qda, op6_rolling_dedup, op7_langid,
-               op8_license, op9_mixing, op10_repetition)
+               op8_license, op9_mixing, op10_repetition, op12_packing)
 from .common import documents, identity, table
 
 OP6 = """
@@ -80,6 +80,10 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_repetition.score(documents(spark, sf_dir)).drop("thash")
 
 
+def op12_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_packing.pack(documents(spark, sf_dir)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity_grammar": op2_toxicity_grammar,
@@ -91,4 +95,5 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_mixing_budgets": op9_mixing_budgets,
     "op10_repetition_rules": op10_repetition_rules,
+    "op12_harmonic_packing": op12_harmonic_packing,
 }
