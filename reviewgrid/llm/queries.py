@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (op1_ngram_join, op2_toxicity, op3_decontaminate, op4_suffix_dedup, op5_quality_qda, op6_rolling_dedup, op7_langid,
-               op8_license, op9_mixing, op10_repetition, op12_packing)
+               op8_license, op9_mixing, op10_repetition, op11_divergence, op12_packing)
 from .common import documents, identity, table
 
 OP6 = """
@@ -22,7 +22,8 @@ FROM src LEFT JOIN (SELECT k, count(*) AS n, count(*) FILTER (b IS NULL OR b < p
 """
 ORACLES: dict[str, str] = {"op6_rolling_hash_dedup": OP6,
                            "op3_benchmark_decontamination": op3_decontaminate.ORACLE,
-                           "op9_mixing_budgets": op9_mixing.oracle()}
+                           "op9_mixing_budgets": op9_mixing.oracle(),
+                           "op11_divergence_audit": op11_divergence.ORACLE}
 
 
 def remainder(n: int) -> Column:
@@ -80,6 +81,10 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_repetition.score(documents(spark, sf_dir)).drop("thash")
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_divergence.audit(documents(spark, sf_dir))
+
+
 def op12_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_packing.pack(documents(spark, sf_dir)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
@@ -95,5 +100,6 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_mixing_budgets": op9_mixing_budgets,
     "op10_repetition_rules": op10_repetition_rules,
+    "op11_divergence_audit": op11_divergence_audit,
     "op12_harmonic_packing": op12_harmonic_packing,
 }
