@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (op1_ngram_join, op2_toxicity, op3_decontaminate, op4_suffix_dedup, op5_quality_qda, op6_rolling_dedup, op7_langid,
-               op8_license, op9_mixing, op10_repetition, op11_divergence, op12_packing)
+               op8_license, op9_mixing, op10_repetition, op11_divergence, op12_packing,
+               op13_prefix_trie)
 from .common import documents, identity, table
 
 OP6 = """
@@ -89,6 +90,10 @@ def op12_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_packing.pack(documents(spark, sf_dir)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity_grammar": op2_toxicity_grammar,
@@ -102,4 +107,5 @@ QUERIES = {
     "op10_repetition_rules": op10_repetition_rules,
     "op11_divergence_audit": op11_divergence_audit,
     "op12_harmonic_packing": op12_harmonic_packing,
+    "op13_conversation_trie": op13_conversation_trie,
 }
