@@ -133,14 +133,18 @@ def _guideline_weights(texts: list[str]) -> list[tuple[dict[str, int], float]]:
     return out
 
 
+def _run_starts(sorted_col: str) -> Column:
+    """Places in a sorted array at which a new value starts."""
+    return F.expr(f"filter(transform({sorted_col}, (t, i) -> case when i = 0 then i "
+                  f"when t != {sorted_col}[i - 1] then i else -1 end), i -> i >= 0)")
+
+
 def _run_counts(df: DataFrame, sorted_col: str, out: str) -> DataFrame:
     """Distinct values of a sorted array with their counts (array of (value, n)),
     from the run starts; linear in the array."""
-    starts = F.expr(f"filter(transform({sorted_col}, (t, i) -> case when i = 0 then i "
-                    f"when t != {sorted_col}[i - 1] then i else -1 end), i -> i >= 0)")
     runs = F.expr(f"transform(_starts, (s, m) -> struct({sorted_col}[s] as value, "
                   f"coalesce(try_element_at(_starts, m + 2), size({sorted_col})) - s as n))")
-    return df.withColumn("_starts", starts).withColumn(out, runs).drop("_starts")
+    return df.withColumn("_starts", _run_starts(sorted_col)).withColumn(out, runs).drop("_starts")
 
 
 def best_guides(df: DataFrame, text_col: str, k: int = TOP_K_GUIDELINES, texts: list[str] | None = None,
@@ -148,23 +152,24 @@ def best_guides(df: DataFrame, text_col: str, k: int = TOP_K_GUIDELINES, texts:
     """``df`` with ``out``: the k guidelines with the highest token cosine to ``text_col``,
     array<struct<neg, g_ord, score>>, best first, ties by guideline order.
 
-    All inside the row: sorted tokens -> (token, count) runs -> norm; a literal map gives
-    each run's weight in every guideline at once, and runs in none drop out.
+    All inside the row: run lengths of the sorted tokens give the norm; a literal map gives
+    a token's weight in every guideline at once, and tokens in none drop out.
     """
     weights = _guideline_weights(texts if texts is not None else GUIDELINES)
     vocab = sorted({w for tf, _ in weights for w in tf})
     by_token = F.create_map(*[x for w in vocab for x in (F.lit(w), F.array(*[F.lit(float(tf.get(w, 0))) for tf, _ in weights]))])
-    d = _run_counts(df.withColumn("_tok", F.sort_array(tokens(text_col))), "_tok", "_runs").drop("_tok")
-    d = d.withColumn("_dn", F.sqrt(F.aggregate(
-        "_runs", F.lit(0).cast("bigint"), lambda acc, r: acc + r["n"].cast("bigint") * r["n"]).cast("double")))
-    d = d.withColumn("_hits", F.filter(F.transform("_runs", lambda r: F.struct(
-        r["n"].cast("double").alias("n"), F.try_element_at(by_token, r["value"]).alias("w"))), lambda h: h["w"].isNotNull()))
-    scored = []
-    for g, (_, norm) in enumerate(weights):
-        dot = F.aggregate("_hits", F.lit(0.0), lambda acc, h: acc + h["n"] * h["w"][g])  # noqa: B023 - built at once
-        score = F.when((F.col("_dn") > 0) & F.lit(norm > 0), dot / (F.col("_dn") * F.lit(float(norm)))).otherwise(F.lit(0.0))
-        scored.append(F.struct((-score).alias("neg"), F.lit(g).alias("g_ord"), score.alias("score")))
-    return d.withColumn(out, F.slice(F.sort_array(F.array(*scored)), 1, k)).drop("_runs", "_dn", "_hits")
+    d = df.withColumn("_tok", F.sort_array(tokens(text_col))).withColumn("_starts", _run_starts("_tok"))
+    d = d.withColumn("_dn", F.expr("""sqrt(cast(aggregate(transform(_starts, (s, m) -> coalesce(get(_starts, m + 1), size(_tok)) - s),
+        0L, (acc, n) -> acc + cast(n as bigint) * n) as double))"""))
+    # a hashed set test drops nearly all tokens; only the others pay the map's linear search
+    d = d.withColumn("_hits", F.transform(F.filter("_tok", lambda t: t.isin(vocab)), lambda t: F.try_element_at(by_token, t)))
+    zero = F.array(*[F.lit(0.0) for _ in weights])
+    norms = F.array(*[F.lit(float(norm)) for _, norm in weights])
+    d = d.withColumn("_dots", F.aggregate("_hits", zero, lambda acc, w: F.zip_with(acc, w, lambda x, y: x + y)))
+    neg = F.transform(F.zip_with("_dots", norms, lambda x, n: F.when((F.col("_dn") > 0) & (n > 0), -(x / (F.col("_dn") * n))).otherwise(F.lit(0.0))),
+                      lambda x, g: F.struct(x.alias("neg"), g.alias("g_ord")))
+    best = F.transform(F.slice(F.sort_array(neg), 1, k), lambda b: F.struct(b["neg"].alias("neg"), b["g_ord"].alias("g_ord"), F.abs(b["neg"]).alias("score")))
+    return d.withColumn(out, best).drop("_tok", "_starts", "_dn", "_hits", "_dots")
 
 
 def topk_text(df: DataFrame, key: list[str], text_col: str, k: int = TOP_K_GUIDELINES,

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import run_sql
+from ..operators.parallel import spread
+from .tables import run_sql, table
 
 # FIXED VALUES: HMAC-SHA256 pads of the fixture key text "fixture-secret"
 # (key XOR 0x5c and key XOR 0x36, padded to 64 bytes).
@@ -114,7 +115,14 @@ select concat('org/r', user_id % 5) as repo, cast(user_id as int) as pr_number,
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The fixture view ``name`` as a Spark DataFrame over ``sf_dir``."""
+    """The fixture view ``name`` as a Spark DataFrame over ``sf_dir``.
+
+    The diffs are built from narrow rows that are dealt to all cores first: a small
+    table is one row group and would be one task.
+    """
+    if name == "v_diffs":
+        docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+        return run_sql(spark, sf_dir, SPARK[name], documents=spread(docs, ["doc_id"]))
     return run_sql(spark, sf_dir, SPARK[name])
 
 
