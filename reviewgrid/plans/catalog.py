@@ -37,5 +37,5 @@ def query(name: str, survey_id: str, oracle: str | None = None):
 
 def load_all() -> dict[str, Query]:
     # Importing the modules registers their queries.
-    from . import q_aggregates, q_chunks, q_events, q_merge, q_report, q_retrieval, q_reviewers, q_streaming  # noqa: F401
+    from . import q_aggregates, q_chunks, q_events, q_giant, q_merge, q_report, q_retrieval, q_reviewers, q_streaming  # noqa: F401
     return REGISTRY

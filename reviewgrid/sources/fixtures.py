@@ -40,6 +40,27 @@ select concat('org/r', a.pr_number % 5) as repo, cast(a.pr_number as int) as pr_
   substr(sha2(cast(a.pr_number as string),256), 1, 40) as commit_sha,
   concat(a.txt, char(10), coalesce(b.txt, '')) as diff
 from s a left join s b on b.doc_id = a.doc_id + 1 where a.doc_id % 2 = 0
+""",
+    "v_lines": r"""
+with d as (select doc_id, doc_id % 3 = 0 as giant, split(text, char(10)) as parts from documents),
+j as (select doc_id, giant, posexplode(parts) as (k, t) from d),
+b as (select doc_id, giant, k, t, case when giant then '    ' else '' end as p from j),
+body as (select case when giant then 0 else doc_id end as pr, case when giant then doc_id * 100000 else 0 end + k + 10 as pos,
+ case (doc_id + k) % 9
+ when 0 then concat('+', p, 'def f_', k, '(a, b=[]):')
+ when 1 then concat('+', p, '    ', t)
+ when 2 then concat('+', p, 'class c', k, ':')
+ when 3 then concat(' ', t)
+ when 4 then concat('-', t)
+ when 5 then concat('+', p, '    for x in a:')
+ when 6 then concat('+', p, '        cur.execute("SELECT * FROM t WHERE id = " + x)')
+ when 7 then concat('+', p, '        while go(x', doc_id % 40, '):')
+ else concat('+', p, '            go(x', doc_id % 40, ')') end as line from b),
+head as (select case when doc_id % 3 = 0 then 0 else doc_id end as pr, explode(sequence(0, 4)) as h from documents where doc_id % 3 <> 0 or doc_id = 0),
+named as (select pr, h as pos, case h when 0 then concat('diff --git a/src/f', pr, '.py b/src/f', pr, '.py') when 1 then concat('+++ b/src/f', pr, '.py')
+ when 2 then '@@ -1 +1 @@' when 3 then '+class Giant:' else '+    "All of it."' end as line from head)
+select concat('org/r', pr % 5) as repo, cast(pr as int) as pr_number, substr(sha2(cast(pr as string),256), 1, 40) as commit_sha, pos, line
+from (select pr, pos, line from body union all select pr, cast(pos as bigint) as pos, line from named) u
 """,
     "v_findings": r"""
 select concat('org/r', user_id % 5) as repo, cast(user_id as int) as pr_number, event_id as seq,
@@ -93,6 +114,27 @@ select concat('org/r', a.pr_number % 5) as repo, cast(a.pr_number as int) as pr_
   substr(sha256(cast(a.pr_number as varchar)), 1, 40) as commit_sha,
   concat(a.txt, chr(10), coalesce(b.txt, '')) as diff
 from s a left join s b on b.doc_id = a.doc_id + 1 where a.doc_id % 2 = 0
+""",
+    "v_lines": r"""
+with d as (select doc_id, doc_id % 3 = 0 as giant, string_split(text, chr(10)) as parts from documents),
+j as (select doc_id, giant, unnest(range(0, len(parts))) as k, unnest(parts) as t from d),
+b as (select doc_id, giant, k, t, case when giant then '    ' else '' end as p from j),
+body as (select case when giant then 0 else doc_id end as pr, case when giant then doc_id * 100000 else 0 end + k + 10 as pos,
+ case (doc_id + k) % 9
+ when 0 then concat('+', p, 'def f_', k, '(a, b=[]):')
+ when 1 then concat('+', p, '    ', t)
+ when 2 then concat('+', p, 'class c', k, ':')
+ when 3 then concat(' ', t)
+ when 4 then concat('-', t)
+ when 5 then concat('+', p, '    for x in a:')
+ when 6 then concat('+', p, '        cur.execute("SELECT * FROM t WHERE id = " + x)')
+ when 7 then concat('+', p, '        while go(x', doc_id % 40, '):')
+ else concat('+', p, '            go(x', doc_id % 40, ')') end as line from b),
+head as (select case when doc_id % 3 = 0 then 0 else doc_id end as pr, unnest(range(0, 5)) as h from documents where doc_id % 3 <> 0 or doc_id = 0),
+named as (select pr, h as pos, case h when 0 then concat('diff --git a/src/f', pr, '.py b/src/f', pr, '.py') when 1 then concat('+++ b/src/f', pr, '.py')
+ when 2 then '@@ -1 +1 @@' when 3 then '+class Giant:' else '+    "All of it."' end as line from head)
+select concat('org/r', pr % 5) as repo, cast(pr as int) as pr_number, substr(sha256(cast(pr as varchar)), 1, 40) as commit_sha, pos, line
+from (select pr, pos, line from body union all select pr, cast(pos as bigint) as pos, line from named) u
 """,
     "v_findings": SPARK["v_findings"],
     "v_pr_events": r"""
