@@ -61,6 +61,37 @@ named as (select pr, h as pos, case h when 0 then concat('diff --git a/src/f', p
  when 2 then '@@ -1 +1 @@' when 3 then '+class Giant:' else '+    "All of it."' end as line from head)
 select concat('org/r', pr % 5) as repo, cast(pr as int) as pr_number, substr(sha2(cast(pr as string),256), 1, 40) as commit_sha, pos, line
 from (select pr, pos, line from body union all select pr, cast(pos as bigint) as pos, line from named) u
+""",
+    "v_code": r"""
+with d as (select doc_id, split(text, char(10)) as parts from documents),
+j as (select doc_id, posexplode(parts) as (k, t) from d),
+c as (select doc_id, k, regexp_replace(t, '[^A-Za-z ]', '') as t, char(92) as bs, repeat(char(34), 3) as q, repeat(char(39), 3) as s from j),
+p as (select doc_id, k, case (doc_id + k) % 8
+ when 0 then array(concat('def f_', k, '(a,'), 'b):', concat('    ', q, t), 'def not_code():', q, '    return a')
+ when 1 then array(concat('x_', k, ' = ', q), concat(t, ' # no comment'), 'class NotCode:', concat(q, ' + "tail"'))
+ when 2 then array(concat('class C_', k, ':'), '    y = (', '1,', ')', concat('    # ', t), '', '# column 0')
+ when 3 then array('@dec(', '1', ')', concat('def g_', k, '(): pass'))
+ when 4 then array(concat('z_', k, ' = 1 + ', bs), '2', concat('w = ', s), concat('def no(): it', bs, char(39), 's ', q), s)
+ when 5 then array(concat('async def h_', k, '():'), concat('    return "# not a comment" # ', t), '')
+ when 6 then array(concat('class D_', k, '('), 'object', '):', concat('    html = f', q), concat('<p>', s, '</p>'), concat('def x(): ', char(39)), concat('    ', q))
+ else array('if z:', concat('    def inner_', k, '(): pass'), concat('v = ', char(39), 'it', bs, char(39), 's', char(39), ' + "', s, '"')) end as block from c),
+l as (select doc_id, k, posexplode(block) as (i, line) from p)
+select concat('org/r', doc_id % 5) as repo, cast(doc_id as int) as pr_number, substr(sha2(cast(doc_id as string),256), 1, 40) as commit_sha, cast(0 as int) as file_ord, concat('src/f', doc_id, '.py') as file_path,
+ cast(row_number() over (partition by doc_id order by k, i) as int) as line_no, line from l
+""",
+    "v_hunks": r"""
+with d as (select doc_id, split(text, char(10)) as parts from documents),
+j as (select doc_id, posexplode(parts) as (k, t) from d),
+m as (select doc_id, k, k div 6 as h, (doc_id + k) % 4 as kind, t from j),
+n as (select doc_id, h, sum(case when kind <> 0 then 1 else 0 end) as b, sum(case when kind <> 1 then 1 else 0 end) as d from m group by doc_id, h),
+o as (select doc_id, h, b, d, coalesce(sum(b) over (partition by doc_id order by h rows between unbounded preceding and 1 preceding), 0) + 3 * h + 1 as a,
+  coalesce(sum(d) over (partition by doc_id order by h rows between unbounded preceding and 1 preceding), 0) + 3 * h + 1 as c from n),
+u as (select doc_id, 0 as pos, concat('diff --git a/f', doc_id, '.py b/f', doc_id, '.py') as line from documents
+ union all select doc_id, 1, concat('--- a/f', doc_id, '.py') from documents
+ union all select doc_id, 2, concat('+++ b/f', doc_id, '.py') from documents
+ union all select doc_id, 4 + h * 7, concat('@@ -', a, case when b = 1 then '' else concat(',', b) end, ' +', c, case when d = 1 then '' else concat(',', d) end, ' @@') from o
+ union all select doc_id, 5 + h * 7 + k % 6, concat(case kind when 0 then '+' when 1 then '-' else ' ' end, case when k % 5 = 0 then '++ ' when k % 5 = 1 then '-- ' else '' end, t) from m)
+select concat('org/r', doc_id % 5) as repo, cast(doc_id as int) as pr_number, substr(sha2(cast(doc_id as string),256), 1, 40) as commit_sha, cast(pos as int) as pos, line from u
 """,
     "v_findings": r"""
 select concat('org/r', user_id % 5) as repo, cast(user_id as int) as pr_number, event_id as seq,
@@ -135,6 +166,37 @@ named as (select pr, h as pos, case h when 0 then concat('diff --git a/src/f', p
  when 2 then '@@ -1 +1 @@' when 3 then '+class Giant:' else '+    "All of it."' end as line from head)
 select concat('org/r', pr % 5) as repo, cast(pr as int) as pr_number, substr(sha256(cast(pr as varchar)), 1, 40) as commit_sha, pos, line
 from (select pr, pos, line from body union all select pr, cast(pos as bigint) as pos, line from named) u
+""",
+    "v_code": r"""
+with d as (select doc_id, string_split(text, chr(10)) as parts from documents),
+j as (select doc_id, unnest(range(0, len(parts))) as k, unnest(parts) as t from d),
+c as (select doc_id, k, regexp_replace(t, '[^A-Za-z ]', '', 'g') as t, chr(92) as bs, repeat(chr(34), 3) as q, repeat(chr(39), 3) as s from j),
+p as (select doc_id, k, case (doc_id + k) % 8
+ when 0 then list_value(concat('def f_', k, '(a,'), 'b):', concat('    ', q, t), 'def not_code():', q, '    return a')
+ when 1 then list_value(concat('x_', k, ' = ', q), concat(t, ' # no comment'), 'class NotCode:', concat(q, ' + "tail"'))
+ when 2 then list_value(concat('class C_', k, ':'), '    y = (', '1,', ')', concat('    # ', t), '', '# column 0')
+ when 3 then list_value('@dec(', '1', ')', concat('def g_', k, '(): pass'))
+ when 4 then list_value(concat('z_', k, ' = 1 + ', bs), '2', concat('w = ', s), concat('def no(): it', bs, chr(39), 's ', q), s)
+ when 5 then list_value(concat('async def h_', k, '():'), concat('    return "# not a comment" # ', t), '')
+ when 6 then list_value(concat('class D_', k, '('), 'object', '):', concat('    html = f', q), concat('<p>', s, '</p>'), concat('def x(): ', chr(39)), concat('    ', q))
+ else list_value('if z:', concat('    def inner_', k, '(): pass'), concat('v = ', chr(39), 'it', bs, chr(39), 's', chr(39), ' + "', s, '"')) end as block from c),
+l as (select doc_id, k, unnest(range(0, len(block))) as i, unnest(block) as line from p)
+select concat('org/r', doc_id % 5) as repo, cast(doc_id as int) as pr_number, substr(sha256(cast(doc_id as varchar)), 1, 40) as commit_sha, cast(0 as int) as file_ord, concat('src/f', doc_id, '.py') as file_path,
+ cast(row_number() over (partition by doc_id order by k, i) as int) as line_no, line from l
+""",
+    "v_hunks": r"""
+with d as (select doc_id, string_split(text, chr(10)) as parts from documents),
+j as (select doc_id, unnest(range(0, len(parts))) as k, unnest(parts) as t from d),
+m as (select doc_id, k, k // 6 as h, (doc_id + k) % 4 as kind, t from j),
+n as (select doc_id, h, sum(case when kind <> 0 then 1 else 0 end) as b, sum(case when kind <> 1 then 1 else 0 end) as d from m group by doc_id, h),
+o as (select doc_id, h, b, d, coalesce(sum(b) over (partition by doc_id order by h rows between unbounded preceding and 1 preceding), 0) + 3 * h + 1 as a,
+  coalesce(sum(d) over (partition by doc_id order by h rows between unbounded preceding and 1 preceding), 0) + 3 * h + 1 as c from n),
+u as (select doc_id, 0 as pos, concat('diff --git a/f', doc_id, '.py b/f', doc_id, '.py') as line from documents
+ union all select doc_id, 1, concat('--- a/f', doc_id, '.py') from documents
+ union all select doc_id, 2, concat('+++ b/f', doc_id, '.py') from documents
+ union all select doc_id, 4 + h * 7, concat('@@ -', a, case when b = 1 then '' else concat(',', b) end, ' +', c, case when d = 1 then '' else concat(',', d) end, ' @@') from o
+ union all select doc_id, 5 + h * 7 + k % 6, concat(case kind when 0 then '+' when 1 then '-' else ' ' end, case when k % 5 = 0 then '++ ' when k % 5 = 1 then '-- ' else '' end, t) from m)
+select concat('org/r', doc_id % 5) as repo, cast(doc_id as int) as pr_number, substr(sha256(cast(doc_id as varchar)), 1, 40) as commit_sha, cast(pos as int) as pos, line from u
 """,
     "v_findings": SPARK["v_findings"],
     "v_pr_events": r"""
