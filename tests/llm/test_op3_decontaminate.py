@@ -58,3 +58,38 @@ def test_empty_tables(spark):
     assert op.leaks(docs(spark, [ITEM]), none).collect() == []
     assert op.leaks(docs(spark, [ITEM]).limit(0), bench(spark, [ITEM])).collect() == []
     assert op.clean(docs(spark, [ITEM]), none).count() == 1
+
+
+def test_reparameterised_and_verbatim_probes(spark):
+    tom = "Tom has 3 apples and 5 pears. Tom buys 7 more at the market."
+    title = "The Old Man And The Sea Is A Short Novel By Ernest Hemingway"
+    two = "What is two plus two"
+    long = "On the second day John walked to the station and waited for the train that left at 5 in the evening"
+    tiny = "Paris France"
+    items = [tom, title, two, long, tiny]
+    rows = [tom.replace("Tom", "Sara"), f"See: {title}, again.", f"well, {two}?", long.replace("John", "Mary Ann"), long.replace(" 5 ", " twenty five "),
+            "paris, france!", "They met in Paris, France and left", "What is one of the two things that you like about this town", CLEAN]
+    got = {(r.doc_id, r.item_id) for r in op.leaks(docs(spark, rows), bench(spark, items)).collect()}
+    assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 3), (5, 4)}
+
+
+def test_random_rows_equal_the_sql(spark):
+    import random
+    rnd = random.Random(9)
+    words = ["Tom", "Anna", "has", "7", "two", "km", "apples", "and", "The", "old", "mill", ".", "for", "$", "3,5", "Über", "straße", "is", "?"]
+    items = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 24))) for _ in range(25)]
+    rows = [" ".join([*(rnd.choice(words) for _ in range(rnd.randint(0, 9))), *(x if rnd.random() < 0.93 else rnd.choice(words) for x in rnd.choice(items).split(" ")),
+                      *(rnd.choice(words) for _ in range(rnd.randint(0, 9)))]) for _ in range(80)] + items[:6]
+    d, b = docs(spark, rows), bench(spark, items)
+    got = sorted((tuple(r) for r in op.leaks(d, b).drop("thash").collect()), key=str)
+    con = duckdb.connect()
+    for name, df in (("documents", d), ("benchmark", b)):
+        con.register(name, df.toArrow())
+    cols = ("doc_id", "item_id", "matched_tokens", "item_tokens", "n_slots", "slots_changed", "consistent")
+    assert got == sorted(con.execute(f"select {', '.join(cols)} from ({op.ORACLE})").fetchall(), key=str) and len(got) > 40
+
+
+def test_very_long_text(spark):
+    rows = [" ".join(["filler words here"] * 40_000) + ". " + ITEM, ITEM]
+    got = op.leaks(with_extra(docs(spark, rows)), bench(spark, [ITEM])).collect()
+    assert {(r.doc_id, r.slots_changed) for r in got} == {(0, 0), (1, 0)}
