@@ -42,7 +42,7 @@ MIN_COVER = 13
 START = 3  # tokens that tell where a window may start
 BROADCAST_WINDOWS = 500_000  # 24 bytes each
 BROADCAST_ROWS = 50_000  # alignments or items, some hundred bytes each
-START_LITERALS = 50_000  # starts written into the plan; with more of them every window is joined
+START_BITS = 20  # of the map of window starts that is written into the plan
 
 # Unit words recognised after a number, and number words.
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "feet", "mile", "miles", "mg", "g", "kg", "lb", "oz", "ton", "tons",
@@ -123,12 +123,28 @@ def start_key(h: Column, i: Column) -> Column:
     return F.xxhash64(*[F.get(h, i + k) for k in range(START)])
 
 
-def document_windows(h: Column, lengths: list[int], firsts: list[int] | None, starts: list[int] | None) -> Column:
+def slot_of(key: Column) -> Column:
+    return F.shiftrightunsigned(key, 64 - START_BITS)
+
+
+def start_map(grams: DataFrame) -> Column:
+    """A bitmap over hashed window starts, 2**14 longs whatever the benchmark's size: a place without its bit starts no
+    window of an item. (A full map lets every window through to the join.)"""
+    bits = [0] * (1 << START_BITS - 6)
+    for r in grams.select(slot_of(F.col("s")).alias("k")).groupBy(F.shiftright("k", 6).alias("word")).agg(
+            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k").bitwiseAND(63).cast("int"))).alias("bits")).collect():
+        bits[r["word"]] = r["bits"]
+    return F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
+
+
+def document_windows(h: Column, lengths: list[int], starts: Column) -> Column:
     """array<struct<h: window hash, p: position from 0>> of the windows of a document that some item window may equal."""
+    def known(hh: Column, i: Column) -> Column:
+        return let(slot_of(start_key(hh, i)), lambda k: F.call_function(
+            "shiftright", F.get(starts, F.shiftright(k, 6).cast("int")), k.bitwiseAND(63).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+
     def of(hh: Column) -> Column:
-        places = F.sequence(F.lit(0), F.greatest(F.size(hh) - START, F.lit(0)))
-        if starts is not None:
-            places = F.filter(places, lambda i: F.get(hh, i).isin(firsts) & start_key(hh, i).isin(starts))
+        places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(hh) - START, F.lit(0))), lambda i: known(hh, i))
 
         def cut(at: Column) -> Column:
             return F.flatten(F.array(*[F.transform(F.filter(at, lambda i: i + n <= F.size(hh)), lambda i: F.struct(  # noqa: B023 - built at once
@@ -138,13 +154,10 @@ def document_windows(h: Column, lengths: list[int], firsts: list[int] | None, st
 
 
 def search(docs: DataFrame, grams: DataFrame, hashed: Callable[[Column], Column], broadcast_windows: int) -> DataFrame:
-    """Windows of documents that equal an item's: doc_id, thash, ikey, w, n, j, diagonal. ``grams`` has ikey, w, n, s, f, h, j."""
+    """Windows of documents that equal an item's: doc_id, thash, ikey, w, n, j, diagonal. ``grams`` has ikey, w, n, s, h, j."""
     lengths = sorted(r["w"] for r in grams.select("w").distinct().collect()) or [WINDOW]  # at most ``window`` values
-    few = [r["s"] for r in grams.select("s").distinct().limit(START_LITERALS + 1).collect()]
-    firsts = [r["f"] for r in grams.select("f").distinct().limit(START_LITERALS + 1).collect()]
-    starts = few if len(few) <= START_LITERALS else None
-    return (docs.select("doc_id", "thash", F.explode_outer(document_windows(hashed(F.col("text")), lengths, firsts, starts)).alias("g"))
-            .select("doc_id", "thash", "g.h", "g.p").filter(F.col("h").isNotNull()).join(bounded(grams.drop("s", "f"), broadcast_windows), "h")
+    return (docs.select("doc_id", "thash", F.explode_outer(document_windows(hashed(F.col("text")), lengths, start_map(grams))).alias("g"))
+            .select("doc_id", "thash", "g.h", "g.p").filter(F.col("h").isNotNull()).join(bounded(grams.drop("s"), broadcast_windows), "h")
             .select("doc_id", "thash", "ikey", "w", "n", "j", (F.col("p") - F.col("j")).alias("diagonal")))
 
 
@@ -166,14 +179,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_cover
     items = items.withColumn("th", h).withColumn("rich", F.when(F.col("n") > START, rich))
     found = F.size(F.array_distinct(F.flatten(F.transform("rich", lambda g: F.sequence(g["j"], g["j"] + w - 1)))))
     items = spill(items.withColumn("poor", F.coalesce(found < F.least(F.lit(min_cover), F.col("n") - 1), F.lit(True)) & (F.size("e") > 0)), "items")
-    grams = spill(items.select("ikey", w.alias("w"), "n", "th", F.explode("rich").alias("g")).select(
-        "ikey", "w", "n", "g.s", F.get("th", F.col("g.j")).alias("f"), "g.h", "g.j"), "item-windows")
+    grams = spill(items.select("ikey", w.alias("w"), "n", F.explode("rich").alias("g")).select(
+        "ikey", "w", "n", "g.s", "g.h", "g.j"), "item-windows")
     parts = [search(docs, grams, hashes, broadcast_windows).withColumn("exact", F.lit(False))]
     poor = items.filter("poor").select("ikey", F.size("e").alias("n"), "e")
     if not poor.isEmpty():
         we = F.least(F.col("n"), F.lit(window))
         exact = spill(poor.filter(F.col("n") >= START).select("ikey", we.alias("w"), "n", "e", F.explode(item_windows(F.col("e"), we)).alias("g")).select(
-            "ikey", "w", "n", "g.s", F.get("e", F.col("g.j")).alias("f"), "g.h", "g.j"), "exact-windows")
+            "ikey", "w", "n", "g.s", "g.h", "g.j"), "exact-windows")
         parts.append(search(docs, exact, exact_hashes, broadcast_windows).withColumn("exact", F.lit(True)))
         tiny = poor.filter(F.col("n") < START).select("ikey", "n", F.xxhash64("e").alias("h"))
         # by size first: few documents are as short as these items
