@@ -11,13 +11,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package, work_path
+from ..session import ship_package as _ship
+from ..session import work_path
 from ..sources.tables import table
 
 __all__ = ["KeyFilter", "components", "documents", "identity", "null_safe", "on_identity",
            "row_key", "ship_package", "spill", "split", "table", "unused"]
 
 
+BATCH_ROWS = 2048
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in Python workers, and bound the Arrow batches of texts that travel to
+    them (a session's own lower bound stays): a batch lies in the executor, in its buffers and in the worker at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+    _ship(spark)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 

@@ -43,7 +43,7 @@ BITS = 15
 MASK = (1 << BITS) - 1
 SEQ = 48
 SLICE_DOCS = 1024  # texts that are Python strings at a time
-PIECE_CHARS = 1 << 18  # texts labelled together; a longer one is labelled in segments
+PIECE_CHARS = 1 << 19  # texts labelled together; a longer one is labelled in segments
 SEGMENT_WORDS = 20_000
 CACHE_WORDS = 50_000
 WIDE = 16  # languages up to which batches and caches have their full size; beyond, they shrink in proportion
@@ -290,25 +290,28 @@ def _scaled(emit: np.ndarray) -> np.ndarray:
     return np.exp(emit - emit.max(axis=1, keepdims=True))
 
 
-def _shares(model: Model | None, texts: list[str | None], cache: dict[str, np.ndarray], piece: int = PIECE_CHARS) -> Iterator[tuple[int, np.ndarray]]:
-    """(words, summed posteriors) of each text. Texts are worked through in pieces of at most
-    ``piece`` characters; a longer one goes by itself, in segments."""
+def _shares(model: Model | None, texts: list[str | None], cache: dict[str, np.ndarray], piece: int = PIECE_CHARS) -> list[tuple[int, np.ndarray]]:
+    """(words, summed posteriors) of each text. Texts are worked through by length, in pieces of at most
+    ``piece`` characters, as sequences of a piece advance together; a longer text goes by itself, in segments."""
+    order = sorted(range(len(texts)), key=lambda k: len(texts[k] or ""))
+    out: list = [(0, 0.0)] * len(texts)
     lo = 0
     while lo < len(texts):
         hi, room = lo, piece
-        while hi < len(texts) and (room := room - len(texts[hi] or "")) >= 0:
+        while hi < len(texts) and (room := room - len(texts[order[hi]] or "")) >= 0:
             hi += 1
         if hi > lo:
-            post, first = _labelled(model, texts[lo:hi], cache)
-            for a, b in zip(first, first[1:], strict=False):
-                yield int(b - a), post[a:b].sum(axis=0)
+            post, first = _labelled(model, [texts[k] for k in order[lo:hi]], cache)
+            for k, a, b in zip(order[lo:hi], first, first[1:], strict=False):
+                out[k] = int(b - a), post[a:b].sum(axis=0)
         else:
             hi, n, total = lo + 1, 0, 0.0
             if model is not None:
-                for _, _, post in _segments(model, texts[lo].lower(), cache, model.sized(SEGMENT_WORDS)):
+                for _, _, post in _segments(model, texts[order[lo]].lower(), cache, model.sized(SEGMENT_WORDS)):
                     n, total = n + len(post), total + post.sum(axis=0)
-            yield n, total
+            out[order[lo]] = n, total
         lo = hi
+    return out
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

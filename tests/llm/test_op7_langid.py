@@ -106,7 +106,7 @@ def test_segments_equal_the_whole(spark):
     parts = list(op._segments(m, text, {}, 700))[::-1]
     assert np.allclose(np.concatenate([p for _, _, p in parts]), whole)
     assert [lo for lo, _, _ in parts][1:] == [hi for _, hi, _ in parts][:-1]
-    sums = list(op._shares(m, ["bada", None, text, "silo misi", "12", text], {}, 100))
+    sums = op._shares(m, ["bada", None, text, "silo misi", "12", text], {}, 100)
     assert [n for n, _ in sums] == [1, 0, len(whole), 2, 0, len(whole)]
     assert np.allclose(sums[2][1], whole.sum(axis=0)) and np.allclose(sums[5][1], sums[2][1])
 
