@@ -20,15 +20,20 @@ __all__ = ["KeyFilter", "components", "documents", "identity", "null_safe", "on_
 
 
 BATCH_ROWS = 2048
+BATCH_BYTES = 1 << 24
 
 
 def ship_package(spark: SparkSession) -> None:
     """Make the package importable in Python workers, and bound the Arrow batches of texts that travel to
-    them (a session's own lower bound stays): a batch lies in the executor, in its buffers and in the worker at once."""
+    them by rows and bytes (a session's own lower bounds stay): a batch lies in the executor, in its buffers and in the worker at once."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(name, "10000"))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(name, BATCH_ROWS)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("bB")
+    if now.isdigit() and int(now) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
     _ship(spark)
 
 
