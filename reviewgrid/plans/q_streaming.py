@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_MARKER, NO_ISSUES_BODY
 from ..session import work_path
+from ..sinks.diff_store import DiffStore
 from ..sinks.store import current_comments, read_reviews
 from ..sources.events import EVENT_SCHEMA, intake
 from ..sources.fixtures import DUCK, FIXTURE_SECRET, duck_with, view
 from ..streaming import review_stream as rs
+from ..streaming.pr_order import newest_events
 from .catalog import query
 from .q_events import FIELDS_SQL, HMAC_SQL
 from .q_report import MARKDOWN_SQL, PUBLISHABLE_SQL, _lit
@@ -54,17 +56,51 @@ def _latest(batch: str) -> str:
   partition by repo, pr_number, {batch} order by received_at desc, delivery_id desc) as rn from acc) t where rn = 1)"""
 
 
-def _streamed(spark, sf_dir, batches):
+def _streamed(spark, sf_dir, batches, store=False):
     """Run the review stream over the events, one micro-batch per filter; returns the sink folder."""
     base = work_path(spark, "stream_review")
     ev = view(spark, sf_dir, "v_pr_events").select(*[F.col(f.name).cast(f.dataType) for f in EVENT_SCHEMA.fields])
+    diffs = view(spark, sf_dir, "v_diffs")
+    if store:
+        kept = DiffStore(f"{base}/diffs", buckets=16)
+        kept.append(diffs)
+        diffs = kept
     for keep in batches:
         ev.filter(keep).write.mode("append").parquet(f"{base}/events")
-        rs.start_review(spark, f"{base}/events", view(spark, sf_dir, "v_diffs"), f"{base}/sink", f"{base}/checkpoint",
-                        FIXTURE_SECRET)
+        rs.start_review(spark, f"{base}/events", diffs, f"{base}/sink", f"{base}/checkpoint", FIXTURE_SECRET)
     return f"{base}/sink"
 
 
+def _deliveries(spark, sf_dir, batch):
+    """Events of one of three micro-batches: dealt out of order, every fourth delivered again later."""
+    ev = view(spark, sf_dir, "v_pr_events")
+    dealt = F.col("delivery_id") * 7 % 3
+    again = ev.filter((F.col("delivery_id") % 4 == 0) & (dealt < 2)).withColumn(
+        "received_at", F.col("received_at") + F.expr("interval 1 hour")).filter(dealt + 1 == batch)
+    rows = ev.filter(dealt == batch).unionByName(again)
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in EVENT_SCHEMA.fields])
+
+
+#: Longer than the time span of the fixture, so that no delivery is late.
+QUERY_HORIZON = "400 days"
+
+
+@query("str_ordered", "T3", oracle=ACCEPTED_SQL.rstrip() + """,
+b as (select *, delivery_id * 7 % 3 as b from acc),
+n as (select *, row_number() over (partition by repo, pr_number, b order by received_at desc, delivery_id desc) as rn from b)
+select repo, pr_number, delivery_id, action, commit_sha from n where rn = 1 and not exists (select 1 from b o
+  where o.repo = n.repo and o.pr_number = n.pr_number and o.b < n.b and (o.received_at, o.delivery_id) > (n.received_at, n.delivery_id))""")
+def str_ordered(spark, sf_dir):
+    """The events that call for a review over three micro-batches with late and repeated deliveries."""
+    base = work_path(spark, "stream_ordered")
+    for batch in range(3):
+        _deliveries(spark, sf_dir, batch).write.mode("append").parquet(f"{base}/events")
+        new = newest_events(intake(rs.event_stream(spark, f"{base}/events"), FIXTURE_SECRET), QUERY_HORIZON)
+        rs._run(new.writeStream.format("parquet").option("path", f"{base}/sink")
+                .option("checkpointLocation", f"{base}/checkpoint"))
+    return spark.read.parquet(f"{base}/sink").select("repo", "pr_number", "delivery_id", "action", "commit_sha")
+
+
 @query("str_rereview", "T3", oracle=_review_ctes() + ",\n" + _latest("delivery_id % 2") + f"""
 , post as (select l.repo, l.pr_number, l.b, coalesce(md.markdown, {_lit(NO_ISSUES_BODY)}) as body from lat l
   join done using (repo, pr_number, commit_sha) left join md using (repo, pr_number, commit_sha)),
@@ -76,7 +112,7 @@ where not coalesce(contains(body, {_lit(DEFAULT_MARKER)}) and g.last > e.b, fals
 def str_rereview(spark, sf_dir):
     """The comments table after two micro-batches (even, then odd deliveries)."""
     sink = _streamed(spark, sf_dir, [F.col("delivery_id") % 2 == k for k in (0, 1)])
-    return current_comments(view(spark, sf_dir, "v_comments"), f"{sink}/comments", DEFAULT_MARKER)
+    return current_comments(view(spark, sf_dir, "v_comments"), f"{sink}/comments", DEFAULT_MARKER, f"{sink}/commits")
 
 
 @query("str_latest", "T3", oracle=ACCEPTED_SQL.rstrip() + ",\n" + _latest("0") + """
@@ -94,6 +130,14 @@ def str_review(spark, sf_dir):
     return spark.read.parquet(f"{_streamed(spark, sf_dir, [F.lit(True)])}/findings")
 
 
+@query("str_review_store", "T2", oracle=_review_ctes() + ",\n" + _latest("delivery_id % 2") + """
+select cast(lat.b as int) as batch_id, rvw.* from rvw join lat using (repo, pr_number, commit_sha)""")
+def str_review_store(spark, sf_dir):
+    """The findings of two micro-batches (even, then odd deliveries) over a bucketed diff store."""
+    sink = _streamed(spark, sf_dir, [F.col("delivery_id") % 2 == k for k in (0, 1)], store=True)
+    return spark.read.parquet(f"{sink}/findings")
+
+
 @query("str_review_sinks", "T2", oracle=_review_ctes() + ",\n" + _latest("0") + f"""
 , n as (select repo, pr_number, commit_sha, count(*) as n_reviews, count(*) filter ({PUBLISHABLE_SQL}) as n_inline from rvw group by all)
 select repo, pr_number, commit_sha,
@@ -105,7 +149,7 @@ left join n using (repo, pr_number, commit_sha)""")
 def str_review_sinks(spark, sf_dir):
     """What T2 left in the reviews, inline and outcome tables, per PR."""
     sink = _streamed(spark, sf_dir, [F.lit(True)])
-    reviews = read_reviews(spark, f"{sink}/reviews").groupBy("repo", "pr_number").agg(F.count(F.lit(1)).alias("n_reviews"))
+    reviews = read_reviews(spark, f"{sink}/reviews", commits=f"{sink}/commits").groupBy("repo", "pr_number").agg(F.count(F.lit(1)).alias("n_reviews"))
     inline = spark.read.parquet(f"{sink}/inline").groupBy("repo", "pr_number").agg(F.count(F.lit(1)).alias("n_inline"))
     out = spark.read.parquet(f"{sink}/outcome").drop("batch_id")
     return (out.join(reviews, ["repo", "pr_number"], "left").join(inline, ["repo", "pr_number"], "left")

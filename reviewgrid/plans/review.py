@@ -91,14 +91,20 @@ def module_secret_findings(sources: DataFrame) -> DataFrame:
 
 def review(diffs: DataFrame, scorer: Callable[[str, str, str], str] | None = None,
            concurrency: int | None = None,
-           secrets_outside_chunks: bool = False) -> DataFrame:
+           secrets_outside_chunks: bool = False, chunk_table: str | None = None) -> DataFrame:
     """Diffs -> prioritised, deduplicated findings per PR revision (M4 order).
 
+    ``chunk_table`` names a folder: the chunks are written there once and the review
+    reads them from it, so that a caller can use them too.
+
     ``secrets_outside_chunks`` (off by default, parity) also scans
     module-level added lines for hard-coded secrets.
     """
     sources = sections.added_source(sections.sections_a(diffs))
     chunks = chunkers.dispatch_chunks(sources)
+    if chunk_table:
+        chunks.write.mode("overwrite").parquet(chunk_table)
+        chunks = chunks.sparkSession.read.schema(chunks.schema).parquet(chunk_table)
     found = rule_findings(chunks) if scorer is None else scorer_findings(chunks, scorer, concurrency)
     if secrets_outside_chunks:
         extra = module_secret_findings(sources)

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (IntegerType, LongType, StringType, StructField, StructType,
                                TimestampType)
 
+from .commits import committed
+
 EMPTY_RUN = "none"
 
 REVIEWS_SCHEMA = StructType([
@@ -51,14 +53,16 @@ def init_reviews(spark: SparkSession, path: str) -> None:
      .write.mode("ignore").parquet(f"{path}/run_id={EMPTY_RUN}"))
 
 
-def read_reviews(spark: SparkSession, path: str, latest_run_only: bool = False) -> DataFrame:
-    """The stored findings, read with the fixed schema.
+def read_reviews(spark: SparkSession, path: str, latest_run_only: bool = False,
+                 commits: str | None = None) -> DataFrame:
+    """The stored findings, read with the fixed schema; with a manifest
+    (``commits``), only those of committed runs.
 
     ``latest_run_only`` (off by default, parity) is the opt-in repair of
     SURVEY note 17: a re-review appends a new run, and readers keep only the
     latest run of each PR (an aggregation per PR, then a semi-join).
     """
-    reviews = spark.read.schema(REVIEWS_SCHEMA).parquet(path)
+    reviews = committed(spark.read.schema(REVIEWS_SCHEMA).parquet(path), commits, "run_id")
     if not latest_run_only:
         return reviews
     latest = reviews.groupBy("repo", "pr_number").agg(
@@ -113,16 +117,17 @@ def post_comments(new: DataFrame, replaced: DataFrame, log: str, batch: int) ->
     replaced.select("repo", "pr_number").distinct().write.mode("overwrite").parquet(f"{log}/removed/batch_id={batch}")
 
 
-def current_comments(existing: DataFrame, log: str, marker: str) -> DataFrame:
-    """The comments table after all batches of ``log``.
+def current_comments(existing: DataFrame, log: str, marker: str, commits: str | None = None) -> DataFrame:
+    """The comments table after all batches of ``log`` (with a manifest, all committed ones).
 
     A batch removes the marked comments of its replaced PRs that were there before
     it: those of ``existing`` and of earlier batches.
     """
     spark = existing.sparkSession
     batch = StructField("batch_id", LongType())
-    posted = spark.read.schema(StructType([*COMMENTS_SCHEMA.fields, batch])).parquet(f"{log}/posted")
-    removed = (spark.read.schema("repo string, pr_number int, batch_id bigint").parquet(f"{log}/removed")
+    posted = committed(spark.read.schema(StructType([*COMMENTS_SCHEMA.fields, batch])).parquet(f"{log}/posted"), commits)
+    gone_from = spark.read.schema("repo string, pr_number int, batch_id bigint").parquet(f"{log}/removed")
+    removed = (committed(gone_from, commits)
                .groupBy("repo", "pr_number").agg(F.max("batch_id").alias("_last")))
     cols = ["repo", "pr_number", "comment_id", "body"]
     every = existing.select(*cols, F.lit(-1).cast("bigint").alias("batch_id")).unionByName(posted.select(*cols, "batch_id"))
