@@ -197,16 +197,14 @@ def call_with_retry(fn: Callable[[str, str, str], str], agent: str, file_path: s
     return None, "retries exhausted"
 
 
-def model_calls(tasks: DataFrame, fn: Callable[[str, str, str], str], concurrency: int | None = None,
-                attempts: int = 3, backoff: float = 1.0) -> DataFrame:
-    """A2: call a user scorer once per (chunk, reviewer) row, partition-parallel.
+def call_batches(tasks: DataFrame, fn: Callable[[str, str, str], str], concurrency: int | None = None,
+                 attempts: int = 3, backoff: float = 1.0) -> DataFrame:
+    """A2 as a plan: ``response`` and ``error`` beside each task's columns.
 
-    ``tasks`` needs ``agent``, ``file_path`` and ``prompt`` (P13); ``concurrency``
-    bounds the number of simultaneous callers (partitions). The result adds
-    ``response`` and ``error`` columns. It is written to the shared folder and read
-    back, so each call is made once however often the result is used.
+    Every use of the result calls the scorer again; ``model_calls`` and
+    ``call_ledger.ledger_calls`` write it.
     """
-    from ..session import ship_package, work_path
+    from ..session import ship_package
     ship_package(tasks.sparkSession)
     if concurrency:
         tasks = tasks.repartition(concurrency)
@@ -222,9 +220,23 @@ def model_calls(tasks: DataFrame, fn: Callable[[str, str, str], str], concurrenc
             pdf["error"] = [e for _, e in res]
             yield pdf
 
+    return tasks.mapInPandas(run, schema)
+
+
+def model_calls(tasks: DataFrame, fn: Callable[[str, str, str], str], concurrency: int | None = None,
+                attempts: int = 3, backoff: float = 1.0) -> DataFrame:
+    """A2: call a user scorer once per (chunk, reviewer) row, partition-parallel.
+
+    ``tasks`` needs ``agent``, ``file_path`` and ``prompt`` (P13); ``concurrency``
+    bounds the number of simultaneous callers (partitions). The result adds
+    ``response`` and ``error`` columns. It is written to the shared folder and read
+    back, so each call is made once however often the result is used.
+    """
+    from ..session import work_path
+    made = call_batches(tasks, fn, concurrency, attempts, backoff)
     path = work_path(tasks.sparkSession, "responses")
-    tasks.mapInPandas(run, schema).write.parquet(path)
-    return tasks.sparkSession.read.schema(schema).parquet(path)
+    made.write.parquet(path)
+    return tasks.sparkSession.read.schema(made.schema).parquet(path)
 
 
 # ---- A3 / A4 / P15: strict response parsing ---------------------------------------

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import merge, reviewers as rv, sections
+from ..operators.call_ledger import ledger_calls
 from ..operators.diff_lines import split_lines
 from ..operators.parallel import spread
+from ..session import work_path, written
 from ..sources.fixtures import duck_with, view
 from ..sources.tables import table
 from . import duck_chunks as D
@@ -150,7 +152,7 @@ def _item_sql(severity: str, category: str, description: str, fix: str) -> str:
             + "\", \"description\": \"" + description + "\", \"suggested_fix\": \"" + fix + "\"}'")
 
 
-@query("rev_model_call", "A2", oracle=DISPATCH_CTES.rstrip() + ",\nch as (" + DISPATCH_BODY + f"""),
+MODEL_CALL_SQL = DISPATCH_CTES.rstrip() + ",\nch as (" + DISPATCH_BODY + f"""),
 ln as (select {CK}, unnest(string_split(content, chr(10))) as line,
   unnest(range(1, len(string_split(content, chr(10))) + 1)) as line_no from ch),
 it as (select {CK}, line_no, 'security' as agent, {_item_sql("critical", "security", "query built by concatenation", "use parameters")} as j
@@ -160,13 +162,26 @@ it as (select {CK}, line_no, 'security' as agent, {_item_sql("critical", "securi
 js as (select {CK}, agent, string_agg(j, ', ' order by line_no) as items from it group by all)
 select {CK}, a.agent, '[' || coalesce(items, '') || ']' as response, cast(null as varchar) as error
 from ch cross join (values ('security'), ('performance'), ('style')) a(agent)
-left join js using ({CK}, agent)""")
+left join js using ({CK}, agent)"""
+
+
+@query("rev_model_call", "A2", oracle=MODEL_CALL_SQL)
 def rev_model_call(spark, sf_dir):
     tasks = rv.fanout(with_prompt(dispatched(spark, sf_dir))).select(*CK.split(", "), "file_path", "agent", "prompt")
     calls = rv.model_calls(tasks, offline_scorer, concurrency=spark.sparkContext.defaultParallelism)
     return calls.select(*CK.split(", "), "agent", "response", "error")
 
 
+@query("rev_call_ledger", "A2", oracle=MODEL_CALL_SQL)
+def rev_call_ledger(spark, sf_dir):
+    """The same calls in two runs over one ledger: the second asks only what the first did not."""
+    tasks = written(rv.fanout(with_prompt(dispatched(spark, sf_dir))).select(*CK.split(", "), "file_path", "agent", "prompt"), "tasks")
+    path = work_path(spark, "ledger")
+    ledger_calls(tasks.filter(F.col("pr_number") % 2 == 0), offline_scorer, path, "first", slice_rows=2_000)
+    calls = ledger_calls(tasks, offline_scorer, path, "second", slice_rows=2_000)
+    return calls.select(*CK.split(", "), "agent", "response", "error")
+
+
 RESP_CTES = duck_with("v_responses") + r""",
 w as (select *, '[' || response || ']' as t from v_responses),
 p as (select *, case when json_valid(t) and json_array_length(t) = 1 and trim(response) <> ''

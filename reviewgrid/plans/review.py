@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import chunkers, merge, reviewers as rv, sections
+from ..operators.call_ledger import ledger_calls
 from ..operators.retrieval import with_prompt
 
 SCOPE = ["repo", "pr_number", "commit_sha"]
@@ -60,10 +61,17 @@ def rule_findings(chunks: DataFrame) -> DataFrame:
 
 
 def scorer_findings(chunks: DataFrame, scorer: Callable[[str, str, str], str],
-                    concurrency: int | None = None, backoff: float = 1.0) -> DataFrame:
-    """Model-seam reviewers: P13 -> A1 -> A2 -> A3 + A4 (+ P15); the scorer gets (agent, file path, prompt)."""
+                    concurrency: int | None = None, backoff: float = 1.0,
+                    ledger: tuple[str, str] | None = None) -> DataFrame:
+    """Model-seam reviewers: P13 -> A1 -> A2 -> A3 + A4 (+ P15); the scorer gets (agent, file path, prompt).
+
+    With ``ledger`` (folder, run name) calls that were answered before are not made again.
+    """
     tasks = rv.fanout(with_prompt(chunks)).select(*CHUNK_KEY, "file_path", "agent", "prompt")
-    calls = rv.model_calls(tasks, scorer, concurrency, backoff=backoff)
+    if ledger:
+        calls = ledger_calls(tasks, scorer, *ledger, concurrency=concurrency, backoff=backoff)
+    else:
+        calls = rv.model_calls(tasks, scorer, concurrency, backoff=backoff)
     parsed = rv.parse_responses(calls).withColumn(
         "status", F.when(F.col("error").isNotNull(), F.lit("error")).otherwise(F.col("status")))
     keys = CHUNK_KEY + ["agent"]
@@ -91,11 +99,13 @@ def module_secret_findings(sources: DataFrame) -> DataFrame:
 
 def review(diffs: DataFrame, scorer: Callable[[str, str, str], str] | None = None,
            concurrency: int | None = None,
-           secrets_outside_chunks: bool = False, chunk_table: str | None = None) -> DataFrame:
+           secrets_outside_chunks: bool = False, chunk_table: str | None = None,
+           ledger: tuple[str, str] | None = None) -> DataFrame:
     """Diffs -> prioritised, deduplicated findings per PR revision (M4 order).
 
     ``chunk_table`` names a folder: the chunks are written there once and the review
-    reads them from it, so that a caller can use them too.
+    reads them from it, so that a caller can use them too. ``ledger`` (folder, run
+    name) keeps the scorer's answers over runs (``operators.call_ledger``).
 
     ``secrets_outside_chunks`` (off by default, parity) also scans
     module-level added lines for hard-coded secrets.
@@ -105,7 +115,7 @@ def review(diffs: DataFrame, scorer: Callable[[str, str, str], str] | None = Non
     if chunk_table:
         chunks.write.mode("overwrite").parquet(chunk_table)
         chunks = chunks.sparkSession.read.schema(chunks.schema).parquet(chunk_table)
-    found = rule_findings(chunks) if scorer is None else scorer_findings(chunks, scorer, concurrency)
+    found = rule_findings(chunks) if scorer is None else scorer_findings(chunks, scorer, concurrency, ledger=ledger)
     if secrets_outside_chunks:
         extra = module_secret_findings(sources)
         found = found.unionByName(extra.select(*found.columns))
