@@ -27,19 +27,27 @@ _ONE_LINE = r""""(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'"""
 #: Strings and comments of a line that starts in code; an unfinished triple-quoted string runs to its end.
 TOKENS = rf"{_DOUBLE}{_BODY}(?:{_DOUBLE}|$)|{_SINGLE}{_BODY}(?:{_SINGLE}|$)|{_ONE_LINE}|#.*$"
 CLOSE = {1: rf"^{_BODY}{_SINGLE}", 2: rf"^{_BODY}{_DOUBLE}"}
+# The same for Java, which recurses once for every turn of a group that may be given back and runs out of stack on a long
+# line. What a string may hold up to its end is one way to read it, so nothing need be given back: possessive groups loop.
+_IN_DOUBLE = r"""(?:[^"\\]++|\\(?:.|$)|"(?!""))*+"""
+_IN_SINGLE = r"""(?:[^'\\]++|\\(?:.|$)|'(?!''))*+"""
+_J_CLOSED = rf"{_DOUBLE}{_IN_DOUBLE}{_DOUBLE}|{_SINGLE}{_IN_SINGLE}{_SINGLE}"
+_J_ONE_LINE = r""""(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+'"""
+_J_TOKENS = rf"{_DOUBLE}{_IN_DOUBLE}(?:{_DOUBLE}|$)|{_SINGLE}{_IN_SINGLE}(?:{_SINGLE}|$)|{_J_ONE_LINE}|#.*$"
+_J_CLOSE = {1: rf"^{_IN_SINGLE}{_SINGLE}", 2: rf"^{_IN_DOUBLE}{_DOUBLE}"}
 OPENER = r"^(async\s+def|def|class)\s"
 
 
 def _exit_from_code(text: Column) -> Column:
     """State after ``text`` when it starts in code: what its last string leaves open."""
-    last = F.try_element_at(F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0)), F.lit(-1))
-    open_ = ~last.rlike(rf"^(?:{_CLOSED})$")
+    last = F.try_element_at(F.regexp_extract_all(text, F.lit(_J_TOKENS), F.lit(0)), F.lit(-1))
+    open_ = ~last.rlike(rf"^(?:{_J_CLOSED})$")
     return F.when(last.startswith(_DOUBLE) & open_, "2").when(last.startswith(_SINGLE) & open_, "1").otherwise("0")
 
 
 def _rest(line: Column, state: int) -> Column:
     """What follows the end of the string that the line starts in; null if it doesn't end here."""
-    return F.when(line.rlike(CLOSE[state]), F.regexp_replace(line, CLOSE[state], ""))
+    return F.when(line.rlike(_J_CLOSE[state]), F.regexp_replace(line, _J_CLOSE[state], ""))
 
 
 def _effect(line: Column) -> Column:
@@ -72,7 +80,7 @@ def lexed(lines: DataFrame, group: list[str] = SECTION, block: int = BLOCK) -> D
         *group, F.col("x.line_no").alias("line_no"), F.col("x.line").alias("line"), F.expr("cast(substring(_states, _k + 1, 1) as int)").alias("state"))
     line = F.col("line")
     visible = F.when(F.col("state") == 0, line).when(F.col("state") == 1, F.coalesce(_rest(line, 1), F.lit(""))).otherwise(F.coalesce(_rest(line, 2), F.lit("")))
-    flat = written(flat.withColumn("code", F.regexp_replace(visible, TOKENS, "")), "lexer-states")
+    flat = written(flat.withColumn("code", F.regexp_replace(visible, _J_TOKENS, "")), "lexer-states")
     delta = F.regexp_count("code", F.lit(r"[(\[{]")) - F.regexp_count("code", F.lit(r"[)\]}]"))
     scanned = block_scan(flat.withColumn("_d", delta.cast("long")), group, "line_no", {"_sum": ("sum", F.col("_d"))}, block)
     more = flat.filter(F.col("code").endswith("\\")).select(*group, (F.col("line_no") + 1).alias("line_no"), F.lit(True).alias("continued"))

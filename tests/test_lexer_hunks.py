@@ -3,6 +3,7 @@
 import ast
 import difflib
 import random
+import re
 
 from conftest import diff_frame
 from pyspark.sql import functions as F
@@ -48,6 +49,24 @@ def test_lexed_chunks_equal_the_parser(spark):
     assert sum(len(v) for v in got.values()) > 200
 
 
+def test_lines_of_any_length_are_lexed(spark):
+    long = "word 'x' \" \\\\ y " * 10_000
+    texts = [["def f():", '    """' + long, long, "def no(): pass", long + '"""', "    return a"], ["v = 'it" + "\\'s" * 20_000 + "'", "w = '''", long, "'''", "class A: pass"]]
+    lines = spark.createDataFrame([(k, i + 1, x) for k, t in enumerate(texts) for i, x in enumerate(t)], "f int, line_no int, line string")
+    got = {(r.f, r.name, r.start_line, r.end_line) for r in lexer.toplevel_extents(lines, ["f"]).collect()}
+    assert got == {(0, "f", 1, 6), (1, "A", 5, 5)} == {(k, *d) for k, t in enumerate(texts) for d in by_parser("\n".join(t))}
+
+
+def test_patterns_that_loop_find_what_the_plain_ones_find():
+    rnd = random.Random(1)
+    for _ in range(20_000):
+        t = "".join(rnd.choice(['"', "'", "\\", "a", "#", '"""', "'''", "("]) for _ in range(rnd.randrange(14)))
+        for plain, loops in [(lexer.TOKENS, lexer._J_TOKENS), *((lexer.CLOSE[k], lexer._J_CLOSE[k]) for k in (1, 2))]:
+            assert [m.span() for m in re.finditer(plain, t)] == [m.span() for m in re.finditer(loops, t)], t
+        for token in re.findall(lexer.TOKENS, t):
+            assert bool(re.fullmatch(lexer._CLOSED, token)) == bool(re.fullmatch(lexer._J_CLOSED, token)), token
+
+
 def file_pairs(n=40, seed=6):
     rnd = random.Random(seed)
     for _ in range(n):
