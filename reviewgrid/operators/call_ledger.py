@@ -1,11 +1,15 @@
 """A ledger of model calls (A2): what has been answered is not asked again.
 
 A call is known by the hash of reviewer, file path and prompt. Equal calls are made once;
-the ones the ledger has no answer for are written down, dealt into slices of at most about
-``slice_rows`` calls, and made one slice after the other, each slice appending its answers
-when it is through. If a job dies, the answers of the slices before it stay: the next run
-makes the open slice's calls and those after it. An executor that is lost costs its own
-partition of the slice.
+the ones the ledger has no answer for are written down and dealt into slices of at most about
+``slice_rows`` calls.
+
+All slices are made by one job: every task makes one caller's part of a slice and moves its
+answers into the ledger when it is through (the committer's second algorithm, so not only when the
+job is). If the job dies, the answers of the finished tasks stay: the next run makes the calls
+of the open tasks, together about a slice, and those after them. An executor that is lost costs its open
+tasks. With ``concurrency`` fewer callers than cores may be wanted, which one job cannot hold; then the slices
+are made one after the other, a job of so many tasks each, and the open slice is made again.
 
 Each row of the ledger stands for itself, so rows of a slice that was only partly moved
 into place are as good as any. Failed calls are kept for the run they happened in and are
@@ -60,16 +64,22 @@ def ledger_calls(tasks: DataFrame, fn: Callable[[str, str, str], str], path: str
     open_calls.write.parquet(f"{work}/open")
     open_calls = spark.read.schema(open_calls.schema).parquet(f"{work}/open")
     slices = -(-open_calls.count() // slice_rows)
-    dealt = f"{work}/slices"
-    if slices:
+    answers_to = f"{path}/run={run}"
+    if slices and not concurrency:
+        parts = open_calls.repartition(slices * spark.sparkContext.defaultParallelism, "call")
+        made = call_batches(parts, fn, None, attempts, backoff)
+        (made.select("call", "response", "error").write.mode("append")
+         .option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(answers_to))
+    elif slices:
+        dealt = f"{work}/slices"
         (open_calls.withColumn("slice", F.pmod(F.xxhash64("call"), F.lit(slices)).cast("int"))
-         .repartition("slice", F.pmod(F.xxhash64("call", F.lit(1)), F.lit(concurrency or spark.sparkContext.defaultParallelism)))
+         .repartition("slice", F.pmod(F.xxhash64("call", F.lit(1)), F.lit(concurrency)))
          .write.partitionBy("slice").parquet(dealt))
         stored = spark.read.schema(StructType([*open_calls.schema.fields, StructField("slice", IntegerType())])).parquet(dealt)
-    for k in range(slices):
-        part = stored.filter(F.col("slice") == k).drop("slice")
-        made = call_batches(part, fn, concurrency, attempts, backoff)
-        made.select("call", "response", "error").write.mode("append").parquet(f"{path}/run={run}")
+        for k in range(slices):
+            part = stored.filter(F.col("slice") == k).drop("slice")
+            made = call_batches(part, fn, concurrency, attempts, backoff)
+            made.select("call", "response", "error").write.mode("append").parquet(answers_to)
     mine = F.col("run") == F.lit(run)
     ok = F.col("error").isNull() & F.col("response").isNotNull()
     answers = (read_ledger(spark, path).filter(ok | mine).groupBy("call")

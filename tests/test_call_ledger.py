@@ -89,3 +89,35 @@ def test_a_review_over_a_ledger_calls_once(spark, tmp_path):
     finding = '[{"line_number": 1, "severity": "low", "description": "d"}]'
     runs = [review(diffs, counting(folder, lambda p: finding), ledger=(path, r)).collect() for r in ("a", "b")]
     assert runs[0] == runs[1] and runs[0] and len(made(folder)) == 3
+
+
+def test_the_number_of_jobs_does_not_grow_with_the_calls(spark, tmp_path):
+    sc, jobs = spark.sparkContext, []
+    for n in (4, 60):
+        path, folder = work_path(spark, "t_jobs"), str(tmp_path / str(n))
+        os.makedirs(folder)
+        sc.setJobGroup(f"ledger-{n}", "")
+        got = ledger_calls(tasks(spark, n), counting(folder), path, "a", slice_rows=4)
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"ledger-{n}")))
+        assert got.filter("response = '[]'").count() == n == len(made(folder)) == len(set(made(folder)))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= jobs[0] + 2  # fifteen slices, or one
+
+
+def test_finished_tasks_outlive_the_job(spark, tmp_path):
+    path, folder = work_path(spark, "t_outlive"), str(tmp_path / "calls")
+    os.makedirs(folder)
+    flag = str(tmp_path / "crashed")
+
+    def crash_once(prompt):
+        if len(os.listdir(folder)) > 40 and not os.path.exists(flag):
+            open(flag, "w").close()
+            os._exit(1)
+        return "[]"
+
+    with pytest.raises(Exception):
+        ledger_calls(tasks(spark, 80), counting(folder, crash_once), path, "a", slice_rows=10).collect()
+    kept, first = read_ledger(spark, path).count(), len(made(folder))
+    got = ledger_calls(tasks(spark, 80), counting(folder, crash_once), path, "a", slice_rows=10)
+    assert got.filter("response = '[]'").count() == 80
+    assert kept > 0 and len(made(folder)) == first + 80 - kept and first - kept <= 30  # the open tasks, four at a time
