@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, identity, on_identity, ship_package, spill, split
+from .common import KeyFilter, identity, on_identity, returns_memory, ship_package, small_table, spill, split
 
 UND = "und"
 CAP = 40  # letters of a word; a longer run is cut into consecutive words
@@ -215,7 +215,8 @@ def training_rows(docs: DataFrame, docs_per_lang: int, span_chars: int, max_lang
     at = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.greatest(F.length("text") - span_chars, F.lit(1))) + 1
     # per language the hash range that holds about four times as many rows as are wanted, so tasks send few
     caps = [(lang, min(int(min(1.0, 4 * docs_per_lang / n + 1e-9) * 2**64) - 2**63, 2**63 - 1)) for lang, n in counts]
-    cap = docs.sparkSession.createDataFrame(caps, "lang string, cap long")
+    langs, caps = zip(*caps, strict=True)
+    cap = small_table(docs.sparkSession, lang=pa.array(langs, pa.string()), cap=pa.array(caps, pa.int64()))
     spans = known.join(F.broadcast(cap), "lang").filter(h <= F.col("cap")).select(
         "lang", h.alias("h"), F.col("text").substr(at.cast("int"), F.lit(span_chars)).alias("t"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
@@ -320,6 +321,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     ``docs`` needs doc_id, thash and text (see ``common.identity``).
     """
     ship_package(docs.sparkSession)
+
+    @returns_memory
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, np.ndarray] = {}
         for batch in batches:

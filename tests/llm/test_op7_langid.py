@@ -4,6 +4,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from corpus_helpers import docs, with_extra
 from pyspark.sql import functions as F
 
@@ -130,3 +131,12 @@ def test_very_long_text(spark):
     text = "bada dada gaba " * 150_000  # 2.2 MB
     got = op.predict(identity(docs(spark, [text, "silo"])), tiny()).collect()
     assert {(r.doc_id, r.lang_pred, r.n_words) for r in got} == {(0, "aa", 450_000), (1, "bb", 1)}
+
+
+def test_learning_starts_no_workers_of_its_own(spark, monkeypatch):
+    """A table made from a list of rows would run through Python workers of another kind, kept beside the others."""
+    frame = docs(spark, [(k, TEXTS["aa"], "aa") for k in range(12)])
+    made, create = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *more, **named: made.append(data) or create(self, data, *more, **named))
+    assert op.training_rows(frame, 250, 1500)
+    assert made and all(isinstance(data, pa.Table) for data in made)
