@@ -17,6 +17,17 @@ def docs(spark, rows, schema=SCHEMA):
     return spark.createDataFrame(full, schema)
 
 
+def new_tables(spark):
+    """A function that names the tables operators have written from now on and not discarded."""
+    import os
+
+    from reviewgrid.session import ensure_checkpoint_dir
+    base = os.path.join(ensure_checkpoint_dir(spark).removeprefix("file:"), "reviewgrid")
+    there = lambda: set(os.listdir(base)) if os.path.isdir(base) else set()
+    before = there()
+    return lambda: {re.sub(r"^llm-|-\w+$", "", t) for t in there() - before}
+
+
 def with_extra(df):
     """Columns that operators use inside, under the same names."""
     from pyspark.sql import functions as F
