@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, identity, null_safe, on_identity, spill, split, unused
+from .common import KeyFilter, discard, identity, null_safe, on_identity, spill, split, unused
 from .kernels import Prefix, U64, _TABLE, chunks, cover, int64, mix, runs, sliding_min
 
 LENGTH = 200
@@ -275,8 +275,8 @@ def _window_rows(length: int):
     return run
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """Spans of repeated strings: doc_id, thash, s, e (bytes; spans of a row may overlap)."""
+def _repeated(docs: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Tables of the segments and of the repeated strings in them, which ``_spans`` joins."""
     docs = identity(docs)
     found = spill(docs.select("doc_id", "thash", "text").mapInArrow(
         _segment_rows(length), "doc_id long, thash long, start long, cnt long, off long, anchor long, seg long"), "segments")
@@ -304,10 +304,20 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     twice = windows.groupBy("key").agg(F.sum("n").alias("total")).filter("total > 1").select("key")
     dealt = windows.join(twice, "key", "left_semi").select("anchor", "seg", F.col("k").alias("s"), (F.col("k") + 1).alias("e"))
     hits = spill(whole.union(sorted_).union(dealt), "repeated-segments")
+    discard(classes, body)
+    return found, hits
+
+
+def _spans(found: DataFrame, hits: DataFrame, length: int) -> DataFrame:
     return found.join(hits, ["anchor", "seg"]).select(
         "doc_id", "thash", (F.col("start") + F.col("s")).alias("s"), (F.col("start") + F.col("e") - 1 + length).alias("e"))
 
 
+def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """Spans of repeated strings: doc_id, thash, s, e (bytes; spans of a row may overlap)."""
+    return _spans(*_repeated(docs, length, hot), length)
+
+
 def _cut(listed: bool, with_text: bool):
     """Rows doc_id, thash, text[, span starts, span ends] -> counts, digest and kept text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +372,9 @@ def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Rows of which nothing but white space is left are dropped; rows that had nothing else
     to begin with, and all other columns, stay as they are.
     """
-    lists = spill(span_lists(repeats(docs, length)), "removals")
+    tables = _repeated(docs, length, HOT)
+    lists = spill(span_lists(_spans(*tables, length)), "removals")
+    discard(*tables)
     some, none = split(docs, KeyFilter(lists.select(F.xxhash64("doc_id", "thash"))))
     names = [unused(docs, f"cut_{k}") for k in ("doc", "hash", "s", "e")]
     lists = lists.toDF(*names)

@@ -3,7 +3,7 @@
 import random
 
 import numpy as np
-from corpus_helpers import corpus, cut_by_brute_force, docs, with_extra
+from corpus_helpers import corpus, cut_by_brute_force, docs, new_tables, with_extra
 
 from reviewgrid.llm import op4_suffix_dedup as op
 
@@ -88,3 +88,12 @@ def test_spans_of_repeated_rows_are_kept_once(spark):
         many = op.span_lists(op.repeats(docs(spark, [row] * 40), 50)).collect()
         assert len(one) == len(many) == 1 and sorted(zip(one[0].s, one[0].e, strict=True)) == sorted(zip(many[0].s, many[0].e, strict=True))
         assert len(set(zip(many[0].s, many[0].e, strict=True))) == len(many[0].s)
+
+
+def test_strip_leaves_only_the_table_it_is_read_from(spark):
+    rows = list(enumerate(corpus(30, seed=6)))
+    left = new_tables(spark)
+    kept = op.strip(docs(spark, rows))
+    assert left() == {"removals"}
+    want = {i: n - gone for i, n, gone, _, _ in cut_by_brute_force(rows, op.LENGTH)}
+    assert all(want[r.doc_id] - 6 <= len((r.text or "").encode()) <= want[r.doc_id] for r in kept.collect())
