@@ -4,11 +4,14 @@ import ast
 import difflib
 import random
 import re
+from pathlib import Path
 
+import pytest
 from conftest import diff_frame
 from pyspark.sql import functions as F
 
 from reviewgrid.operators import diff_lines as dl, hunks, lexer, line_scan as ls
+from reviewgrid.session import ensure_checkpoint_dir
 
 KEYS = ["repo", "pr_number", "commit_sha"]
 PIECES = [
@@ -57,6 +60,37 @@ def test_lines_of_any_length_are_lexed(spark):
     assert got == {(0, "f", 1, 6), (1, "A", 5, 5)} == {(k, *d) for k, t in enumerate(texts) for d in by_parser("\n".join(t))}
 
 
+def test_no_text_is_written_and_null_keys_meet(spark):
+    """Tables of the lexer must not hold the lines again and again; what they hold goes when nothing reads it any more."""
+    text = sources(60, seed=8)
+    long = "\n".join("# " + "".join(random.Random(k).choice("abcdefgh") for _ in range(4000)) for k in range(60))
+    texts = ["\n".join([t, long]) for t in text]
+    rows = [(k or None, i + 1, line) for k, t in enumerate(texts) for i, line in enumerate(t.split("\n"))]
+    lines = spark.createDataFrame(rows, "f int, line_no int, line string").repartition(4)
+    base = Path(ensure_checkpoint_dir(spark).removeprefix("file:"), "reviewgrid")
+    before, most, discard = set(base.glob("*")), [], lexer.discard
+
+    def size():
+        return sum(f.stat().st_size for d in set(base.glob("*")) - before for f in d.rglob("*.parquet"))
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lexer, "discard", lambda *tables: (most.append(size()), discard(*tables)))
+        got = {(r.f, r.name, r.start_line, r.end_line) for r in lexer.toplevel_extents(lines, ["f"], 50).collect()}
+    assert got == {(k or None, *d) for k, t in enumerate(texts) for d in by_parser(t)}
+    assert most and most[0] < sum(map(len, texts)) // 20
+    assert {d.name.rpartition("-")[0] for d in set(base.glob("*")) - before} == {"lexed-heads"}
+
+
+def test_lexed_lines_keep_what_is_asked(spark):
+    text = ["x = (1,", "  \\", "2)", "s = '''", "(", "'''", "y = 1"]
+    lines = spark.createDataFrame([(1, i + 1, line) for i, line in enumerate(text)], "f int, line_no int, line string")
+    for block in (2, 4096):
+        got = lexer.lexed(lines, ["f"], block).orderBy("line_no").collect()
+        assert [(r.line, r.state, r.depth, r.continued) for r in got] == [
+            ("x = (1,", 0, 0, False), ("  \\", 0, 1, False), ("2)", 0, 1, True), ("s = '''", 0, 0, False), ("(", 1, 0, False), ("'''", 1, 0, False), ("y = 1", 0, 0, False)]
+    assert lexer.lexed(lines, ["f"], 2, {"size": F.length("line")}).columns == ["f", "line_no", "size", "state", "depth", "continued"]
+
+
 def test_patterns_that_loop_find_what_the_plain_ones_find():
     rnd = random.Random(1)
     for _ in range(20_000):
